@@ -59,7 +59,8 @@ def by_batch(df: DataFrame, make, schema: str) -> DataFrame:
     """mapInArrow with a function that is built once in each task.
 
     ``make()`` returns a function from a RecordBatch to a dict of columns with
-    the names of ``schema`` (or to None for no rows).  Texts vary from a word to
+    the names of ``schema`` (or to None for no rows); after a task's batches it
+    is called with None if it has an attribute ``last``.  Texts vary from a word to
     megabytes, so the session's batches are set to BATCH_ROWS rows.
     """
     spark = df.sparkSession
@@ -73,8 +74,14 @@ def by_batch(df: DataFrame, make, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
+
+        def made(out: dict) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([column(out[f.name], f.type) for f in arrow], schema=arrow)
+
         for batch in batches:
             if batch.num_rows and (out := work(batch)) is not None:
-                yield pa.RecordBatch.from_arrays([column(out[f.name], f.type) for f in arrow], schema=arrow)
+                yield made(out)
+        if hasattr(work, "last"):
+            yield made(work(None))
 
     return df.mapInArrow(run, schema)

@@ -40,10 +40,10 @@ from .common import by_batch, held_out, stored
 
 ORDER = 4
 #: Rows a language that the models learn from, about, and letters of one text that make a decision sure.
-SAMPLE, SURE = 3000, 400
+SAMPLE, SURE = 1500, 400
 UND = "und"
-#: Words whose costs a worker keeps, and the longest that it keeps.
-KNOWN, KNOWN_CHARS = 150_000, 40
+#: Words whose costs a worker keeps at most, but for those of one batch.
+KNOWN = 400_000
 #: N-grams of one language and order that a model keeps: the most frequent.
 KEEP = 200_000
 
@@ -78,7 +78,7 @@ def gram_hashes(points: np.ndarray, order: int) -> np.ndarray:
 
 @dataclass
 class Language:
-    """Sorted arrays of one language: for each order from 1, hashes with probabilities, and context hashes with weights."""
+    """One language's counts made into sorted arrays: for each order from 1, hashes with discounted probabilities, and context hashes with the weight of the lower order."""
 
     name: str
     grams: list[tuple[np.ndarray, np.ndarray]]
@@ -86,29 +86,6 @@ class Language:
     uniform: float
 
 
-def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(wanted), missing)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], missing)
-
-
-def probabilities(model: Language, points: np.ndarray) -> np.ndarray:
-    """Of each character but the first mark, given those before it."""
-    n, order = len(points) - 1, len(model.grams)
-    p = np.full(n, model.uniform)
-    for k in range(1, order + 1):
-        hashed = gram_hashes(points, k)[1 if k == 1 else 0 :]
-        skip = n - len(hashed)  # places too near the start for this order keep the lower one
-        p_gram = _found(*model.grams[k - 1], hashed, 0.0)
-        if k == 1:
-            weight = np.full(len(hashed), model.contexts[0][1][0])
-        else:
-            weight = _found(*model.contexts[k - 1], gram_hashes(points[:-1], k - 1), 1.0)
-        p[skip:] = p_gram + weight * p[skip:]
-    return p
-
-
 def count_grams(lists: list[list[str]], order: int) -> Counter:
     """Occurrences of every n-gram of the words up to the order, words apart."""
     counts: Counter = Counter()
@@ -175,6 +152,56 @@ def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[by], values[by]
 
 
+class Tables:
+    """The languages' arrays side by side: one sorted hash array for each order, with a column of values a language."""
+
+    def __init__(self, models: list[Language]):
+        order = len(models[0].grams)
+        self.uniform = np.array([m.uniform for m in models])
+        self.grams = [self._side_by_side([m.grams[k] for m in models], 0.0) for k in range(order)]
+        self.contexts = [self._side_by_side([m.contexts[k] for m in models], 1.0) for k in range(order)]
+
+    @staticmethod
+    def _side_by_side(pairs: list[tuple[np.ndarray, np.ndarray]], missing: float) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.unique(np.concatenate([k for k, _ in pairs]))
+        # a last row stands for whatever is not found
+        values = np.full((len(keys) + 1, len(pairs)), missing)
+        for column, (own, value) in enumerate(pairs):
+            values[np.searchsorted(keys, own), column] = value
+        return keys, values
+
+    @staticmethod
+    def _find(table: tuple[np.ndarray, np.ndarray], wanted: np.ndarray) -> np.ndarray:
+        keys, values = table
+        if not len(keys):
+            return values[np.zeros(len(wanted), np.int64)]
+        at = np.searchsorted(keys, wanted)
+        at[at == len(keys)] = 0
+        return values[np.where(keys[at] == wanted, at, len(keys))]
+
+    def probabilities(self, points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """(place, language): of each character after the first mark, given those of its word before it.
+
+        points: words between single marks, which stand at ``ends``.
+        """
+        n = len(points) - 1
+        places = np.arange(n)
+        starts = np.zeros(n, np.int64)
+        starts[ends[:-1]] = places[ends[:-1]]
+        before = places - np.maximum.accumulate(starts)  # letters of the word before each place
+        p = np.broadcast_to(self.uniform, (n, len(self.uniform)))
+        p = self._find(self.grams[0], gram_hashes(points, 1)[1:]) + self.contexts[0][1][0] * p
+        for k in range(2, len(self.grams) + 1):
+            use = np.flatnonzero(before >= k - 2)
+            if not len(use):
+                break
+            at = use - (k - 2)
+            own = self._find(self.grams[k - 1], gram_hashes(points, k)[at])
+            weight = self._find(self.contexts[k - 1], gram_hashes(points[:-1], k - 1)[at])
+            p[use] = own + weight * p[use]
+        return p
+
+
 @dataclass
 class Identifier:
     models: list[Language]
@@ -184,72 +211,57 @@ class Identifier:
 
 
 class Scorer:
-    """Costs of whole texts in nats; a word's costs do not depend on its neighbours, so frequent words are kept."""
+    """Costs of whole texts in nats; a word's cost does not depend on its neighbours, so words are kept in a bounded table."""
 
     def __init__(self, own: Identifier):
-        self.own, self.kept = own, {}
-
-    def costs(self, words: list[str]) -> None:
-        """Work out the words' costs and characters together."""
-        models = self.own.models
-        points = chars(words)
-        ends = np.flatnonzero(points == 32)
-        found = []
-        for model in models:
-            # the context of a word begins at its mark: look up word by word through one array
-            logs = -np.log(self._within(model, points, ends))
-            total = np.concatenate([[0.0], np.cumsum(logs)])
-            found.append(total[ends[1:]] - total[ends[:-1]])
-        sizes = np.diff(ends)
-        table = np.stack([*found, sizes], axis=1)
-        self.kept.update(zip(words, table, strict=True))
-
-    @staticmethod
-    def _within(model: Language, points: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """probabilities(), with contexts cut at the mark before each word."""
-        n = len(points) - 1
-        p = np.full(n, model.uniform)
-        starts = np.zeros(n, np.int64)
-        starts[ends[:-1]] = 1
-        at = np.arange(n) - np.maximum.accumulate(np.where(starts > 0, np.arange(n), 0))  # letters before, within the word
-        for k in range(1, len(model.grams) + 1):
-            if k == 1:
-                weight = model.contexts[0][1][0]
-                p = _found(*model.grams[0], gram_hashes(points, 1)[1:], 0.0) + weight * p
+        self.own = own
+        self.tables = Tables(own.models) if own.models else None
+        self._clear()
+
+    def _clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.costs = np.empty((0, len(self.own.models) + 1))
+
+    def learn(self, words: list[str]) -> None:
+        """Work out the words' costs in every language, and their sizes, together."""
+        found = [self.costs]
+        for i in range(0, len(words), 8192):
+            part = words[i : i + 8192]
+            points = chars(part)
+            ends = np.flatnonzero(points == 32)
+            logs = -np.log(self.tables.probabilities(points, ends))
+            found.append(np.column_stack([np.add.reduceat(logs, ends[:-1], axis=0), np.diff(ends)]))
+        first = len(self.costs)
+        self.costs = np.concatenate(found)
+        self.at.update(zip(words, range(first, first + len(words)), strict=True))
+
+    def entropies(self, texts: list[str | None]) -> list[tuple[np.ndarray | None, int]]:
+        """For each text its cost a character in each language, and its number of characters."""
+        if len(self.at) > KNOWN:
+            self._clear()
+        every = [words_of(t) for t in texts]
+        new = set().union(*every).difference(self.at)
+        # signs that count as digits elsewhere are no letters
+        odd = {w for w in new if not any(map(str.isalpha, w))}
+        if self.tables is None:
+            return [(None, 0)] * len(texts)
+        self.learn(sorted(new - odd))
+        out: list[tuple[np.ndarray | None, int]] = []
+        for words in every:
+            if odd:
+                words = [w for w in words if w not in odd]
+            if not words:
+                out.append((None, 0))
                 continue
-            use = np.flatnonzero(at >= k - 2)
-            use = use[use >= k - 2]
-            hashed, heads = gram_hashes(points, k), gram_hashes(points[:-1], k - 1)
-            own = _found(*model.grams[k - 1], hashed[use - (k - 2)], 0.0)
-            weight = _found(*model.contexts[k - 1], heads[use - (k - 2)], 1.0)
-            p[use] = own + weight * p[use]
-        return p
+            total = self.costs[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))].sum(axis=0)
+            out.append((total[:-1] / total[-1], int(total[-1])))
+        return out
 
-    def entropies(self, text: str | None) -> tuple[np.ndarray | None, int]:
-        """Cost a character in each language, and the number of characters."""
-        found = Counter(words_of(text))
-        if len(self.kept) > KNOWN:
-            self.kept = {}
-        new = []
-        for w in found.keys() - self.kept.keys():
-            if any(map(str.isalpha, w)):
-                new.append(w)
-            else:  # signs that count as digits elsewhere are no letters
-                del found[w]
-        if not found or not self.own.models:
-            return None, 0
-        for i in range(0, len(new), 4096):
-            self.costs(new[i : i + 4096])
-        table = np.stack([self.kept[w] for w in found])
-        total = np.fromiter(found.values(), np.float64, len(found)) @ table
-        for w in new:
-            if len(w) > KNOWN_CHARS:
-                del self.kept[w]
-        return total[:-1] / total[-1], int(total[-1])
-
-    def predict(self, text: str | None) -> tuple[str, float, float, bool]:
-        """Language, score, cross-entropy and whether the text is rejected."""
-        each, n = self.entropies(text)
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float, bool]]:
+        """For each text language, score, cross-entropy and whether it is rejected."""
+        return [self._decide(each, n) for each, n in self.entropies(texts)]
+
+    def _decide(self, each: np.ndarray | None, n: int) -> tuple[str, float, float, bool]:
         if each is None:
             return UND, 0.0, 0.0, True
         own = self.own
@@ -282,17 +294,33 @@ def train(docs: DataFrame, *, order: int = ORDER, sample: int = SAMPLE, doc_id:
 
     counted = by_batch(chosen.where("not check").select("lang", "text"), make, "lang string, gram string, n long")
     counted = stored(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langid-counts")
-    models, alphabet = [], None
-    for (name,) in sorted(counted.select("lang").distinct().collect()):
-        if alphabet is None:
-            alphabet = counted.where("length(gram) = 1").select("gram").distinct().count() + 1
-        own: dict[str, int] = {}
-        for k in range(1, order + 1):
-            level = counted.where((F.col("lang") == name) & (F.length("gram") == k)).orderBy(F.desc("n"), "gram").limit(KEEP)
-            own.update({r.gram: r.n for r in level.select("gram", "n").toLocalIterator()})
-        models.append(kneser_ney(name, own, order, alphabet))
-    fitted = Identifier(models)
-    return calibrate(fitted, chosen.where("check").select("lang", "text")) if models else fitted
+    size = F.length("gram").alias("k")
+    bars = _bars(counted.groupBy("lang", size, "n").count().collect())
+    if not bars:
+        return Identifier([])
+    # bounded: KEEP n-grams a language and order
+    table = counted.sparkSession.createDataFrame([(*k, v) for k, v in bars.items()], "lang string, k int, bar long")
+    kept = counted.withColumn("k", F.length("gram")).join(F.broadcast(table), ["lang", "k"]).where("n >= bar")
+    grams: dict[str, dict[str, int]] = {}
+    for r in kept.select("lang", "gram", "n").toLocalIterator():
+        grams.setdefault(r.lang, {})[r.gram] = r.n
+    alphabet = len({g for own in grams.values() for g in own if len(g) == 1}) + 1
+    models = [kneser_ney(name, dict(sorted(grams[name].items())), order, alphabet) for name in sorted(grams)]
+    return calibrate(Identifier(models), chosen.where("check").select("lang", "text"))
+
+
+def _bars(rows: list) -> dict[tuple[str, int], int]:
+    """For each language and order the least count that leaves at most KEEP n-grams, from a histogram of the counts."""
+    bars: dict[tuple[str, int], int] = {}
+    left: dict[tuple[str, int], int] = {}
+    for r in sorted(rows, key=lambda r: -r.n):
+        key = (r.lang, r.k)
+        left[key] = left.get(key, KEEP) - r["count"]
+        if left[key] >= 0 or key not in bars:
+            bars[key] = r.n
+        if left[key] < 0:
+            left[key] = -KEEP - 1
+    return bars
 
 
 def calibrate(own: Identifier, rows: DataFrame) -> Identifier:
@@ -304,8 +332,7 @@ def calibrate(own: Identifier, rows: DataFrame) -> Identifier:
 
         def work(batch):
             out = []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                each, n = scorer.entropies(text)
+            for name, (each, n) in zip(batch.column(0).to_pylist(), scorer.entropies(batch.column(1).to_pylist()), strict=True):
                 if each is not None and name in names:
                     out.append((names.index(name), n, each.tolist()))
             return {"truth": [o[0] for o in out], "n": [o[1] for o in out], "each": [o[2] for o in out]}
@@ -341,7 +368,7 @@ def identify(docs: DataFrame, own: Identifier, *, doc_id: str = "doc_id", text:
         scorer = Scorer(own)
 
         def work(batch):
-            rows = [scorer.predict(t.as_py()) for t in batch.column(1)]
+            rows = scorer.predict(batch.column(1).to_pylist())
             names = ("lang_pred", "score", "entropy", "rejected")
             return {doc_id: batch.column(0)} | {n: [r[i] for r in rows] for i, n in enumerate(names)}
 

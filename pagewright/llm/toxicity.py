@@ -30,6 +30,7 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,15 +58,45 @@ _WORD = re.compile(f"{_LETTER}+")
 _HIDDEN = re.compile(
     rf"{_LETTER}[{_SIGNS}]{{1,3}}{_LETTER}|^[{_SIGNS}]{{1,2}}{_LETTER}{{2}}|{_LETTER}{{2}}[{re.escape('$@!013')}]{{1,2}}$|({_LETTER})\1\1|{_LETTER}(?:[._*~\-]{{1,2}}{_LETTER}(?!{_LETTER})){{2}}|{_LETTER}[*_~^]{{1,2}}{_LETTER}"
 )
+_TRIPLED = re.compile(rf"({_LETTER})\1\1")
 _APART = re.compile(r"(?<!\S)(?:\S[ .\-_*]{1,2}){3,}\S(?!\S)")
 
 
+_STEP = 0x9E3779B97F4A7C15
+
+
 def _bucket(gram: str) -> int:
-    value = 2166136261
+    value = len(gram)
     for c in gram:
-        value = ((value ^ ord(c)) * 16777619) & 0xFFFFFFFFFF
-        value ^= value >> 17
-    return value % BUCKETS
+        value = (value ^ ord(c)) * _STEP % 2**64
+        value ^= value >> 29
+    return (value >> 32) % BUCKETS
+
+
+def _buckets(points: np.ndarray, order: int) -> np.ndarray:
+    """_bucket() of the n-gram that ends at each place from the third on."""
+    n = len(points)
+    value = np.full(n - 2, order, np.uint64)
+    for i in range(order):
+        value = (value ^ points[3 - order + i : n + 1 - order + i]) * np.uint64(_STEP)
+        value ^= value >> np.uint64(29)
+    return ((value >> np.uint64(32)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def gram_counts(words: Counter) -> np.ndarray:
+    """Counts of 1-, 2- and 3-grams that end in a word or at its end, two marks standing before it."""
+    out = np.zeros(BUCKETS)
+    if not words:
+        return out
+    points = np.frombuffer(("  " + "   ".join(words) + " ").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    times = np.fromiter(words.values(), np.float64, len(words))
+    # of each word's places with its end, and of the two marks that follow it, which count nothing
+    weight = np.repeat(np.column_stack([times, np.zeros(len(words))]).ravel(), np.column_stack([sizes + 1, np.full(len(words), 2)]).ravel())[: len(points) - 2]
+    for order in (1, 2, 3):
+        out += np.bincount(_buckets(points, order), weight, BUCKETS)
+    out[_bucket("  ")] += times.sum()  # the context that begins a word
+    return out
 
 
 @dataclass
@@ -144,8 +175,9 @@ class Reader:
         lower, known, out = text.lower(), self.known, set()
         if len(known) > KNOWN:
             known.clear()
+        tripled = _TRIPLED.search(lower) is not None
         for token in set(lower.split()):
-            if token.isalpha() and not _tripled(token):
+            if token.isalpha() and not (tripled and _TRIPLED.search(token)):
                 out.add(token)
                 continue
             found = known.get(token)
@@ -164,10 +196,6 @@ class Reader:
         return tuple(plain)
 
 
-def _tripled(token: str) -> bool:
-    return any(a == b == c for a, b, c in zip(token, token[1:], token[2:], strict=False))
-
-
 def features(word: str) -> list[str]:
     """A word and its beginnings (marked, so that they differ from words)."""
     return [word] + [word[:k] + "~" for k in PREFIXES if len(word) > k]
@@ -203,22 +231,16 @@ def letter_model(docs: DataFrame, text: str) -> Letters:
     """Trigram counts of every whole text; a task sends at most BUCKETS sums, and so does Spark to the driver."""
 
     def make():
+        total = np.zeros(BUCKETS)
+
         def work(batch):
-            sums: Counter = Counter()
-            words = Counter(w for t in batch.column(0) if t.is_valid for w in _WORD.findall(t.as_py().lower()))
-            for word, n in words.items():
-                marked = f"  {word} "
-                for i in range(2, len(marked)):
-                    sums[marked[i - 2 : i + 1]] += n
-                    sums[marked[i - 1 : i + 1]] += n
-                    sums[marked[i]] += n
-                # contexts that no character ends: the marks before a word
-                sums["  "] += n
-            out: Counter = Counter()
-            for gram, n in sums.items():
-                out[_bucket(gram)] += n
-            return {"bucket": list(out), "n": list(out.values())}
+            if batch is not None:
+                total[:] += gram_counts(Counter(w for t in batch.column(0) if t.is_valid for w in _WORD.findall(t.as_py().lower())))
+                return None
+            at = np.flatnonzero(total)
+            return {"bucket": pa.array(at, pa.int32()), "n": pa.array(total[at].astype(np.int64))}
 
+        work.last = True
         return work
 
     found = by_batch(docs.select(F.col(text).cast("string").alias("text")), make, "bucket int, n long")
@@ -228,13 +250,17 @@ def letter_model(docs: DataFrame, text: str) -> Letters:
     return Letters(counts, float(counts.sum()) / 3)
 
 
-def fit(rows: list[tuple[int, np.ndarray]], n: int, *, l1: float = 0.0005, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and base of a logistic model with an L1 penalty, by accelerated proximal gradient steps."""
+def fit(rows: list[tuple[int, np.ndarray]], n: int, *, share: float = 0.375, l1: float = 0.0005, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Weights and base of a logistic model with an L1 penalty, by accelerated proximal gradient steps.
+
+    Rows weigh so that positive ones count for ``share``, however many there are.
+    """
     y = np.array([r[0] for r in rows], float)
+    each = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     sizes = np.array([len(r[1]) for r in rows])
     columns = np.concatenate([r[1] for r in rows]).astype(np.int64) if sizes.sum() else np.empty(0, np.int64)
     lines = np.repeat(np.arange(len(rows)), sizes)
-    w, base = np.zeros(n), math.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
+    w, base = np.zeros(n), math.log(share / (1 - share))
     vw, vb, t = w.copy(), base, 1.0
     # a bound of the curvature: the largest singular value by a few power steps
     u = np.ones(n + 1) / math.sqrt(n + 1)
@@ -243,10 +269,10 @@ def fit(rows: list[tuple[int, np.ndarray]], n: int, *, l1: float = 0.0005, steps
         u = np.append(np.bincount(columns, z[lines], n), z.sum())
         size = np.linalg.norm(u)
         u /= size
-    step = 4 * len(rows) / size
+    step = 4 * len(rows) / (size * each.max())
     for _ in range(steps):
         p = 1 / (1 + np.exp(-(np.bincount(lines, vw[columns], len(rows)) + vb)))
-        g = (p - y) / len(rows)
+        g = each * (p - y) / len(rows)
         new = vw - step * np.bincount(columns, g[lines], n)
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
         new_base = vb - step * g.sum()
