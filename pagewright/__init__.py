@@ -1 +1,11 @@
-"""Paged-binary and corpus analytics expressed as Spark DataFrame plans."""
+"""Paged-binary and corpus analytics expressed as Spark DataFrame plans.
+
+Functions that run in Python workers are shipped by value, so executors need no
+copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

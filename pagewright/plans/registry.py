@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import census
+from . import census, checkpoints, decoders, delta, evidence, search, snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-for _module in (census,):
+for _module in (census, decoders, delta, checkpoints, search, snapshots, evidence):
     QUERIES.update(_module.QUERIES)
     SQL.update(_module.SQL)
