@@ -156,5 +156,5 @@ def mutant_outcomes(spark: SparkSession, path: str) -> DataFrame:
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, value) of text files, lines numbered from 1 within each."""
-    whole = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", r"\n\z", "").alias("value"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", r"\n\z", "").alias("value"))
     return whole.select("path", F.posexplode(F.split("value", "\n", -1)).alias("at", "value")).select("path", (F.col("at") + 1).alias("line_no"), "value")
