@@ -69,6 +69,8 @@ class Model:
                     raise ValueError("models with unused pieces are not supported")
                 self.rank[piece], self.id[piece] = lib.get_score(i), i
                 self.bytes.append(piece.replace(MARK, " ").encode())
+        #: Control and unknown ids: they end a run of byte pieces without a trace.
+        self.apart = {i for i in range(n) if lib.is_control(i) or lib.is_unknown(i)}
         self.is_byte = [lib.is_byte(i) for i in range(n)]
         if len(self.byte_id) != 256:
             raise ValueError("byte pieces are missing")
@@ -236,13 +238,14 @@ class Model:
         """As the library: the prefix space goes, byte pieces are read as UTF-8, an invalid byte becomes U+FFFD."""
         table = self.bytes
         try:
-            text = b"".join(map(table.__getitem__, ids)).decode()
+            text = b"".join(map(table.__getitem__, ids)).decode() if self.apart.isdisjoint(ids) else self._decode_runs(ids)
         except UnicodeDecodeError:
-            text = self._decode_broken(ids)
+            text = self._decode_runs(ids)
         first = next((i for i in ids if table[i]), 0)
         return text[1:] if self.pieces[first][:1] == MARK else text
 
-    def _decode_broken(self, ids: Sequence[int]) -> str:
+    def _decode_runs(self, ids: Sequence[int]) -> str:
+        """Byte pieces side by side are read together; any other piece ends their run."""
         out, run = [], bytearray()
 
         def flush() -> None:

@@ -104,8 +104,7 @@ def test_changed_files_are_refused():
 
 def test_hash_of_like_images_is_like():
     rng = np.random.default_rng(2)
-    y, x = np.mgrid[0:48, 0:48]
-    image = (128 + 60 * np.sin(x / 7) + 50 * np.cos(y / 9)).astype(np.uint8)
+    image = np.kron(rng.integers(20, 236, (8, 8)), np.ones((6, 6))).astype(np.uint8)  # energy in every low frequency
     near = (image.astype(int) + rng.integers(-3, 4, image.shape)).clip(0, 255).astype(np.uint8)
     other = rng.integers(0, 256, image.shape, dtype=np.uint8)
     bits = lambda a, b: bin(int(media.cosine_hash(a), 16) ^ int(media.cosine_hash(b), 16)).count("1")
