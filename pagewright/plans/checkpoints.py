@@ -157,7 +157,7 @@ def suffix_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def single_change_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users whose days go from few events to many once and for all."""
     days = _events_index(spark, sf_dir).select("page", "ordinal")
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id", F.to_date("ts").alias("day")).agg((F.max("value") > 60).cast("int").alias("v"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id", F.to_date("ts").alias("day")).agg((F.max("value") > 10).cast("int").alias("v"))
     table = events.select(F.col("user_id").alias("page"), F.unix_date("day").alias("ordinal"), "v")
     return ops.change_points(table.join(days.select("page").distinct(), "page", "left_semi"), "page")
 
@@ -251,7 +251,7 @@ SQL = {
       SELECT page, off, CASE WHEN top >= off THEN top ELSE -1 END AS last_from, CASE WHEN top >= off THEN top + 1 END AS suffix_start FROM t""",
     "suffix_slack": f"""WITH {_BYTES}, t AS (SELECT page, max(off) FILTER (v > 127) AS top, max(off) FILTER (v = 33) AS bad FROM b GROUP BY page)
       SELECT page, CASE WHEN top IS NULL OR coalesce(bad > top, false) THEN 0 ELSE 255 - top END::BIGINT AS slack FROM t""",
-    "single_change_point": """WITH v AS (SELECT user_id AS page, ts::DATE AS day, max(value) > 60 AS high FROM events GROUP BY 1, 2)
+    "single_change_point": """WITH v AS (SELECT user_id AS page, ts::DATE AS day, max(value) > 10 AS high FROM events GROUP BY 1, 2)
       SELECT page, datediff('day', DATE '1970-01-01', min(day) FILTER (high))::INT AS first FROM v GROUP BY page HAVING count(*) FILTER (high) > 0 AND count(*) FILTER (NOT high) > 0 AND min(day) FILTER (high) > max(day) FILTER (NOT high)""",
     "growth_targets": """WITH s AS (SELECT r AS replica, o AS ordinal, o * 13 + r * 5 AS page_count FROM range(1, 4) a(r), range(0, 200) b(o)), t AS (SELECT i * 512 AS threshold FROM range(1, 5) c(i))
       SELECT replica::INT AS replica, threshold, min(ordinal) AS ordinal, min(page_count) AS page_count, min(page_count) - threshold AS overshoot FROM s JOIN t ON page_count >= threshold GROUP BY replica, threshold""",

@@ -91,7 +91,7 @@ def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def accepted_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers that no part has passed with."""
     accepted = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("provider"))
-    candidates = _read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("provider"), F.when((F.col("l_quantity") > 49) & (F.col("l_returnflag") == "R"), "pass").otherwise("fail").alias("status"))
+    candidates = _read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("provider"), F.when((F.col("l_quantity") > 49) & (F.col("l_returnflag") == "R") & (F.col("l_orderkey") % 10 == 0), "pass").otherwise("fail").alias("status"))
     return ops.accepted_without_pass(accepted, candidates, "provider")
 
 
@@ -263,7 +263,7 @@ SQL = {
       u AS (SELECT n_nationkey AS source_id, 'building/' AS path FROM nation UNION SELECT n_nationkey, 'machinery/3' FROM nation UNION SELECT n_nationkey, 'absent/' FROM nation WHERE n_nationkey % 5 = 0)
       SELECT source_id, path, 'undeclared_citation' AS error_code FROM c WHERE NOT EXISTS (FROM u WHERE u.source_id = c.source_id AND (u.path = c.path OR (suffix(u.path, '/') AND starts_with(c.path, u.path))))
       UNION ALL SELECT source_id, path, 'unused_declaration' FROM u WHERE NOT EXISTS (FROM c WHERE u.source_id = c.source_id AND (u.path = c.path OR (suffix(u.path, '/') AND starts_with(c.path, u.path))))""",
-    "accepted_providers": "SELECT s_suppkey AS provider FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'R')",
+    "accepted_providers": "SELECT s_suppkey AS provider FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'R' AND l_orderkey % 10 = 0)",
     "interval_list_validation": f"""WITH {_INTERVALS}, l AS (SELECT *, lag(s) OVER w AS ps, lag(e) OVER w AS pe FROM i WINDOW w AS (PARTITION BY file ORDER BY idx))
       SELECT file, idx, s AS start, e AS "end", CASE WHEN s >= e THEN 'empty_interval' WHEN e > 900 THEN 'interval_out_of_bounds' WHEN s < ps THEN 'interval_order' WHEN s < pe THEN 'interval_overlap' WHEN s = pe THEN 'adjacent_intervals' END AS error_code FROM l""",
     "changes_outside_intervals": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), q AS (SELECT a.doc_id, a.h AS l, b.h AS r, unnest(range(0, least(length(a.h), length(b.h)) // 2)) AS off FROM d a JOIN d b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 7 = 0),
