@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.bytes import framed, write_int
+from ..sources.scratch import stored
 
 #: Metrics by which way is better.
 LOWER_IS_BETTER = ("median_latency_ns", "peak_rss_bytes", "output_size_bytes")
@@ -273,28 +274,25 @@ def zipped_blocks(targets: DataFrame, blocks: DataFrame, *keys: str) -> DataFram
     return both.withColumn("error_code", F.when(F.col("target_line").isNull() | F.col("block_line").isNull(), "block_count_differs"))
 
 
-def closure(spark: SparkSession, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, node) of everything below a root in (node, parent), roots with it; cycles end, as a pair comes once."""
-    edges.createOrReplaceTempView("closure_edges")
-    roots.createOrReplaceTempView("closure_roots")
-    try:
-        return spark.sql(
-            """
-            WITH RECURSIVE below(root, node, depth) AS (
-              SELECT root, root AS node, 0 AS depth FROM closure_roots
-              UNION ALL
-              SELECT below.root, e.node, below.depth + 1 FROM below JOIN closure_edges e ON e.parent = below.node WHERE below.depth < 64 AND e.node <> below.root
-            ) SELECT DISTINCT root, node FROM below
-            """
-        )
-    finally:
-        spark.catalog.dropTempView("closure_edges")
-        spark.catalog.dropTempView("closure_roots")
-
-
-def closure_sum(spark: SparkSession, nodes: DataFrame, roots: DataFrame, value: str) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node) of everything below a root in (node, parent), roots with it.
+
+    Goes down a level a round until nothing new is found, so neither depth nor
+    cycles matter; each round's new pairs are written to the shared folder.
+    """
+    seen = stored(roots.select("root", F.col("root").alias("node")).distinct(), "closure")
+    last = seen
+    while True:
+        below = last.withColumnRenamed("node", "parent").join(edges.select("node", "parent"), "parent").select("root", "node").distinct()
+        last = stored(below.join(seen, ["root", "node"], "left_anti"), "closure")
+        if last.isEmpty():
+            return seen
+        seen = seen.unionByName(last)
+
+
+def closure_sum(nodes: DataFrame, roots: DataFrame, value: str) -> DataFrame:
     """(root, total) of a value over all nodes below each root that have a row."""
-    below = closure(spark, nodes.select("node", "parent"), roots)
+    below = closure(nodes, roots)
     return below.join(nodes.select("node", value), "node").groupBy("root").agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n_nodes"))
 
 

@@ -211,7 +211,7 @@ def closure_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memory of process trees: nodes from arithmetic, each below the node of half its number."""
     nodes = spark.range(1, 400).select(F.col("id").alias("node"), F.floor(F.col("id") / 2).alias("parent"), (F.col("id") * 17 % 101).alias("rss"))
     roots = spark.range(1, 9).select(F.col("id").alias("root"))
-    return ops.closure_sum(spark, nodes, roots, "rss")
+    return ops.closure_sum(nodes, roots, "rss")
 
 
 def changed_indices_recomputed(spark: SparkSession, sf_dir: str) -> DataFrame:

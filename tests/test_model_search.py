@@ -174,3 +174,13 @@ def test_whole_histories(spark):
     counts = spark.createDataFrame([(1, 0, "a", 2), (1, 1, "b", 2), (2, 0, "a", 1), (2, 5, "z", 1)], "replica int, ordinal int, checkpoint string, page_count long")
     got = {(r.replica, r.checkpoint): r.error_code for r in ops.history_errors(index, counts, ["a", "b"]).collect()}
     assert got == {(1, "b"): "pages_not_contiguous", (2, "a"): "bad_digest", (2, "b"): "missing_checkpoint", (2, "z"): "unknown_checkpoint"}
+
+
+def test_closure_of_deep_trees_and_cycles(spark):
+    from pagewright.operators import evidence
+
+    edges = [(i, i - 1) for i in range(1, 9)] + [(101, 100), (102, 101), (100, 102)]
+    nodes = spark.createDataFrame([(n, p, 1) for n, p in edges], "node long, parent long, rss long")
+    roots = spark.createDataFrame([(0,), (5,), (100,), (500,)], "root long")
+    got = {r.root: r.total for r in evidence.closure_sum(nodes, roots, "rss").collect()}
+    assert got == {0: 8, 5: 4, 100: 3}
