@@ -13,11 +13,16 @@ sequence is the one shingle.  Documents are linked if 100 * |A and B| >=
   paired with its smallest id only, one pair a member (the most alike, by bit
   counts), confirmed and joined to components.  Then the pairs that remain, of
   buckets whose members lie in different components, are taken: to the smallest
-  id, and at last every such pair.  Members of one component need no pair: no
-  pair of theirs can change the result.
+  id, and at last members with members, in blocks of a bucket that are compared
+  within a task: only pairs that pass the next tests leave it.  Members of one
+  component need no pair: no pair of theirs can change the result.
 * Before a pair is confirmed, equal bits of the two packed signatures estimate
   the similarity, corrected for chance collisions.  Pairs are put aside only
   when the estimate lies ``SIGMAS`` standard deviations below the threshold.
+* A second test can't put aside a link at all: each set also keeps the parity of
+  its hashes in a few bits a shingle.  Two sets that differ in d shingles have
+  parities that differ in d bits at most, so more differing bits than the
+  threshold allows prove that they are not linked.
 * Confirmation reads the full sets.  Those of all members of buckets are written
   once; pairs are dealt by their smaller id, hot ones in parts, and a task holds
   one such set while it streams the others.
@@ -48,6 +53,10 @@ BITS, SIGMAS, SEED = 2, 6.0, 20240101
 BROADCAST_IDS = 1_000_000
 #: Pairs of one smaller id that a task takes together.
 PART = 256
+#: Members of a bucket that are compared with others at a time.
+MEMBERS = 1024
+#: Parity bits for each shingle, and bits of a set at least and at most.
+PARITY, PARITY_LEAST, PARITY_MOST = 4, 256, 1 << 17
 #: Bounds of a worker's table of word hashes, and shingles hashed at a time.
 KNOWN_WORDS, BLOCK = 300_000, 2048
 
@@ -112,6 +121,48 @@ def band_hashes(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return (mixed * _MIX2).view(np.int64)
 
 
+def parity(grams: np.ndarray) -> bytes:
+    """Whether an odd number of the set's hashes falls on each place; the places are the lowest bits of a hash."""
+    size = PARITY_LEAST
+    while size < min(PARITY * len(grams), PARITY_MOST):
+        size *= 2
+    odd = np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Parities (rows of bytes) of so many bytes: two places that become one add up."""
+    while bits.shape[-1] > size:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def differing_bits(x: bytes, y: bytes) -> int:
+    """At most the number of shingles that only one of the two sets has."""
+    size = min(len(x), len(y))
+    a, b = (folded(np.frombuffer(z, np.uint8), size) for z in (x, y))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def may_differ(total, percent: int):
+    """The most shingles in which two linked sets, of so many shingles together, can differ."""
+    return total * (100 - percent) // (100 + percent)
+
+
+def least_agreement(percent: int, n: int) -> float:
+    """Share of equal minima below which a pair is put aside."""
+    s, chance = percent / 100, 1 / (1 << BITS)
+    agree = s + (1 - s) * chance
+    return agree - SIGMAS * (agree * (1 - agree) / n) ** 0.5
+
+
+def equal_minima(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """How many of n minima agree in all BITS bits; x and y are rows of packed signatures."""
+    differ = np.bitwise_or.reduce((x ^ y).reshape(len(y), BITS, -1), axis=1)
+    return n - np.bitwise_count(differ).sum(axis=1).astype(np.int64)
+
+
 def similarity(same: np.ndarray, n: int) -> np.ndarray:
     """The similarity estimated from how many of n minima agree in all BITS bits: chance agrees in 1 of 2**BITS."""
     chance = 1 / (1 << BITS)
@@ -119,7 +170,7 @@ def similarity(same: np.ndarray, n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, *, words: int, bands: int, rows: int, doc_id: str, text: str) -> DataFrame:
-    """(id, n_shingles, k1, k2, sig, hashes) of every whole text; without words, n_shingles is 0 and the rest null."""
+    """(id, n_shingles, k1, k2, sig, parity, hashes) of every whole text; without words, n_shingles is 0 and the rest null."""
 
     def make():
         shingler = Shingler(words)
@@ -127,22 +178,22 @@ def signatures(docs: DataFrame, *, words: int, bands: int, rows: int, doc_id: st
         def one(data: bytes | None):
             grams = shingler(data or b"")
             if not len(grams):
-                return 0, None, None, None, None
+                return 0, None, None, None, None, None
             least = minima(grams, bands * rows)
             raw = grams.tobytes()
             key = xxhash.xxh3_128_digest(raw)
             k1, k2 = np.frombuffer(key, np.int64).tolist()
-            return len(grams), k1, k2, packed(least), band_hashes(least, bands, rows)
+            return len(grams), k1, k2, packed(least), parity(grams), band_hashes(least, bands, rows)
 
         def work(batch):
             found = [one(t.as_py()) for t in batch.column(1)]
-            names = ("n_shingles", "k1", "k2", "sig", "hashes")
+            names = ("n_shingles", "k1", "k2", "sig", "parity", "hashes")
             return {"id": batch.column(0)} | {n: [f[i] for f in found] for i, n in enumerate(names)}
 
         return work
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
-    return by_batch(chosen, make, "id long, n_shingles long, k1 long, k2 long, sig binary, hashes array<long>")
+    return by_batch(chosen, make, "id long, n_shingles long, k1 long, k2 long, sig binary, parity binary, hashes array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -160,31 +211,110 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def likely(pairs: DataFrame, sigs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with score, the bit-count estimate in thousandths, without those far below the threshold."""
-    s = percent / 100
-    chance = 1 / (1 << BITS)
-    agree = s + (1 - s) * chance
-    least = agree - SIGMAS * (agree * (1 - agree) / n) ** 0.5
-    joined = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a")), "a")
-    joined = joined.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b")), "b")
+    """Pairs (a, b) with score, the bit-count estimate in thousandths, without those that are not linked by either test."""
+    side = lambda x: sigs.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("parity").alias(f"parity_{x}"), F.col("n_shingles").alias(f"n_{x}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
     # sets whose sizes differ too much can't reach the threshold
     joined = joined.where((F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent))
 
     def make():
+        least = least_agreement(percent, n)
+
         def work(batch):
-            left = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, BITS, -1)
-            right = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(batch.num_rows, BITS, -1)
-            differ = np.bitwise_or.reduce(left ^ right, axis=1)
-            same = left.shape[2] * 8 - np.bitwise_count(differ).sum(axis=1).astype(np.int64) - (left.shape[2] * 8 - n)
-            keep = np.flatnonzero(same >= least * n)
-            if not len(keep):
+            rows = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3)]
+            same = equal_minima(*rows, n)
+            most = may_differ(batch.column(6).to_numpy(zero_copy_only=False), percent)
+            keep = [i for i in np.flatnonzero(same >= least * n) if differing_bits(batch.column(4)[i].as_py(), batch.column(5)[i].as_py()) <= most[i]]
+            if not keep:
                 return None
             score = np.round(similarity(same[keep], n) * 1000).astype(np.int64)
             return {"a": batch.column(0).take(keep), "b": batch.column(1).take(keep), "score": score}
 
         return work
 
-    return by_batch(joined.select("a", "b", "sig_a", "sig_b"), make, "a long, b long, score long")
+    rows = joined.select("a", "b", "sig_a", "sig_b", "parity_a", "parity_b", (F.col("n_a") + F.col("n_b")).alias("n"))
+    return by_batch(rows, make, "a long, b long, score long")
+
+
+class Block:
+    """Members of one bucket (or of two of its parts), smaller sets first."""
+
+    def __init__(self, rows: list[tuple], n: int, percent: int, least: float):
+        self.ids, self.comps, self.parts, self.sizes = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2, 3))
+        self.sigs = np.frombuffer(b"".join([r[4] for r in rows]), np.uint8).reshape(len(rows), -1)
+        self.raw = [np.frombuffer(r[5], np.uint8) for r in rows]
+        self.n, self.percent, self.least = n, percent, least
+        self.places: dict[int, np.ndarray] = {}
+
+    def _parities(self, size: int) -> np.ndarray:
+        """Of the members whose parity has so many bytes or more, which are the last ones."""
+        if size not in self.places:
+            some = [folded(r, size) for r in self.raw if len(r) >= size]
+            self.places[size] = np.stack(some)
+        return self.places[size]
+
+    def pairs(self, crossing: bool) -> list[tuple[int, int]]:
+        """Pairs of different components that both tests leave: between the two parts, or within the one."""
+        out: list[tuple[int, int]] = []
+        ends = np.searchsorted(self.sizes, self.sizes * 100 // self.percent, side="right")
+        for i, end in enumerate(ends.tolist()):
+            if end <= i + 1:
+                continue
+            other = slice(i + 1, end)
+            keep = self.comps[other] != self.comps[i]
+            if crossing:
+                keep &= self.parts[other] != self.parts[i]
+            at = np.flatnonzero(keep) + i + 1
+            if len(at):
+                at = at[equal_minima(self.sigs[i], self.sigs[at], self.n) >= self.least * self.n]
+            if len(at):
+                size = len(self.raw[i])
+                every = self._parities(size)
+                first = len(self.raw) - len(every)
+                differ = np.bitwise_count(every[at - first] ^ self.raw[i]).sum(axis=1)
+                at = at[differ <= may_differ(self.sizes[at] + self.sizes[i], self.percent)]
+            one = int(self.ids[i])
+            out += [(min(one, b), max(one, b)) for b in self.ids[at].tolist()]
+        return out
+
+
+def within_buckets(rest: DataFrame, sigs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (bucket, id, comp) in one bucket but not one component, that both tests leave.
+
+    Members are compared where they lie: buckets of more than MEMBERS are cut in
+    parts by id, and each two parts are one task's group.
+    """
+    sizes = rest.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("k"))
+    rows = rest.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    rows = rows.select("bucket", "id", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    rows = rows.join(sigs, "id").select("bucket", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "id", "comp", "part", "n_shingles", "sig", "parity")
+    rows = rows.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "n_shingles", "id")
+
+    def make():
+        least = least_agreement(percent, n)
+        held: list = [None, []]
+
+        def done() -> list[tuple[int, int]]:
+            key, own = held
+            return Block(own, n, percent, least).pairs(crossing=key[1] != key[2]) if len(own) > 1 else []
+
+        def work(batch):
+            out: list[tuple[int, int]] = []
+            if batch is not None:
+                columns = [c.to_pylist() for c in batch.columns]
+                for row in zip(*columns, strict=True):
+                    if row[:3] != held[0]:
+                        out += done()
+                        held[:] = [row[:3], []]
+                    held[1].append(row[3:])
+            else:
+                out = done()
+            return {"a": [p[0] for p in out], "b": [p[1] for p in out]}
+
+        work.last = True
+        return work
+
+    return by_batch(rows, make, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -275,12 +405,12 @@ def near_duplicates(
     classes = stored(filled.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "near-classes")
     # one row for each class: the signature of any of its members
     reps = filled.join(classes, ["k1", "k2"]).where("id = rep").dropDuplicates(["id", "k1", "k2"])
-    reps = stored(reps.select("id", "k1", "k2", "n_shingles", "sig", "hashes"), "near-reps")
+    reps = stored(reps.select("id", "k1", "k2", "n_shingles", "sig", "parity", "hashes"), "near-reps")
 
     banded = reps.select("id", F.explode("hashes").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub != top").select("bucket", "hub")
     members = stored(banded.join(buckets, "bucket").select("bucket", "hub", "id").distinct(), "near-members")
-    sigs = reps.select("id", "n_shingles", "sig")
+    sigs = reps.select("id", "n_shingles", "sig", "parity")
 
     star = members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     star = stored(likely(star, sigs, n, percent), "near-star")
@@ -309,9 +439,7 @@ def near_duplicates(
     placed = members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2").select("bucket")
     rest = stored(placed.join(mixed, "bucket").where("id != hub").select("bucket", "id", "comp"), "near-rest")
-    left, right = rest.toDF("bucket", "a", "ca"), rest.toDF("bucket", "b", "cb")
-    last = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
-    third = confirmed(likely(last, sigs, n, percent), sets, percent)
+    third = confirmed(within_buckets(rest, sigs, n, percent), sets, percent)
     comps = stored(relabelled(comps, third.unionByName(own.distinct())), "near-comps")
 
     least = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("comp", "rep").alias("comp"))
