@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import linededup, mixing, neardup, sentencepiece_bpe, toxicity
-from pagewright.llm.common import stored
+from pagewright.llm.common import spread, stored
 from pagewright.llm.queries import TOKENIZER, table
 
 
@@ -64,7 +64,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        rows = stage(spark, rows, sf_dir)
+        rows = stage(spark, spread(rows), sf_dir)
         if stage is not STAGES[-1][1]:
             rows = stored(rows, f"pipeline-{name}")
     return rows

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources.scratch import forget, scratch, stored
+
+__all__ = ["BATCH_ROWS", "SPACE", "WORD", "by_batch", "forget", "held_out", "scratch", "spread", "stored"]
+
 #: A word is a run of anything but space and the ASCII control white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
@@ -20,33 +20,24 @@ SPACE = r"[\x20\x09-\x0D]"
 BATCH_ROWS = 256
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder path that driver and executors share.
-
-    It lies below ``spark.checkpoint.dir``; only where that is unset (tests,
-    one machine) is a temporary folder made, which goes when Python ends.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="pagewright-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
+#: Bytes for each core up to which a table of few files is dealt out anew.
+SMALL_BYTES = 128 << 20
 
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df written to a shared folder and read again: cuts the lineage."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of few small files dealt over all cores, as a file's row group is one task's.
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a stored() table that nothing reads any more."""
+    Others stay as they are: a table with as many files as cores, or with more
+    than SMALL_BYTES for each core, has enough tasks of its own.
+    """
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
+    if not 0 < len(files) < cores:
+        return df
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in files]
+    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+    return df.repartition(cores) if size <= cores * SMALL_BYTES else df
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

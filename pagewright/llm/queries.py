@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import extract, langid, linededup, media, mixing, neardup, quality, sentencepiece_bpe, toxicity, warc
-from .common import held_out, scratch, stored
+from .common import held_out, scratch, spread, stored
 
 #: The tokenizer of op2 and of the pipeline.
 TOKENIZER = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
