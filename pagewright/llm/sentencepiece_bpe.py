@@ -11,8 +11,8 @@ Where no piece fits, the place is marked in a bitfield of failed positions and
 the piece before is shortened.
 
 No piece holds the space mark after another character, so no merge crosses the
-start of a space run and the chunks between are encoded apart; frequent chunks
-are kept in a bounded table.  All of a text is encoded, whatever its length.
+start of a space run and the chunks between are encoded apart; so are Latin
+letters and other signs, if no piece joins them. Frequent chunks are kept in a bounded table.  All of a text is encoded, whatever its length.
 
 Nulls and odd inputs: a null text is an empty one and has no ids; a lone space
 mark in the text counts as a space, as in the library; characters without a
@@ -41,6 +41,7 @@ MARK = "▁"
 CHUNKS, CHUNK_CHARS, PAIRS = 150_000, 48, 400_000
 #: A character without a piece is the symbol LONE + its code point; a pair of symbols is left << SHIFT | right.
 LONE, SHIFT = 1 << 21, 22
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 
 
 class Model:
@@ -78,6 +79,10 @@ class Model:
             raise ValueError("a piece is too long, or there are too many")
         if any(MARK in p.lstrip(MARK) for p in self.rank):
             raise ValueError("a piece crosses the start of a space run")
+        # where no piece joins a Latin letter to another sign, the edges between them are boundaries too
+        inner = [p.lstrip(MARK) for p in self.rank]
+        joined = any(re.search(f"[{LATIN}]", p) and re.search(f"[^{LATIN}]", p) for p in inner)
+        self.chunk = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if joined else f"{MARK}*[{LATIN}]+|{MARK}*[^{MARK}{LATIN}]+|{MARK}+")
         self.automaton = ahocorasick.Automaton()
         for piece in self.rank:
             self.automaton.add_word(piece, self.id[piece] << 5 | len(piece) - 1)
@@ -217,7 +222,7 @@ class Model:
 
     def split(self, text: str) -> list[str]:
         """Chunks of the marked text; no merge crosses from one to the next."""
-        return re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", MARK + text.replace(" ", MARK)) if text else []
+        return self.chunk.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def encode(self, text: str) -> array:
         """Ids of a whole text."""
