@@ -39,6 +39,7 @@ BLOCK = frozenset(
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPH = frozenset("p pre td blockquote dd figcaption".split())
 CONTAINER = frozenset("article main section div body td blockquote html center".split())
+MENUS = frozenset("ul ol div section table tr dl p".split())
 #: A start tag of the first ends an open element of the second, within the third.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -58,12 +59,14 @@ UNLIKELY = frozenset(
     "header masthead topbar footer foot copyright sidebar aside rail widget widgets related recommended recommendations share sharing social newsletter subscribe subscription signup login "
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay comment comments commentlist disqus reply replies respond discussion toolbar pagination pager skip tags form search".split()
 )
-#: Such a word does not count where one of these stands beside it, on the article itself.
-LIKELY = frozenset("article content main body post entry story text".split())
+#: A header of one of these is the article's own.
+LIKELY = frozenset("article content main post entry story".split())
+#: After one of these a name tells of another part of the page: has-sidebar.
+ABOUT = frozenset("with without has no is not".split())
 
 _TAG = re.compile(r"<(?:!--(?:.*?-->|.*)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?][^>]*>)", re.S)
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?![\w-])""", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _LINE_WORDS = re.compile(r"\S+")
 COMMAS = re.compile("[,،、，;]")
 
@@ -79,17 +82,22 @@ class Node:
 
 
 def _unlikely(tag: str, attributes: str) -> bool:
-    named, words = False, set()
     for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "role" and value.strip() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "role" and value.strip().lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
-        if name in ("class", "id"):
-            words.update(_WORDS.findall(value))
-            named = True
-    if not named or tag in ("html", "body", "article", "main"):
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and any(map(_names_other, value.split())):
+            return True
+    return False
+
+
+def _names_other(name: str) -> bool:
+    """Whether a class or id names a part beside the article, by its first or last word: comment-list, site-footer."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    if not words or ABOUT & set(words[:-1]):
         return False
-    return bool(words & UNLIKELY) and not (words & LIKELY and not words & {"comment", "comments", "ad", "ads", "related", "sidebar", "nav", "menu", "footer"})
+    found = {words[0], words[-1]} & UNLIKELY
+    return bool(found) and not (found == {"header"} and LIKELY & set(words))
 
 
 def parse(page: str) -> Node:
@@ -225,6 +233,21 @@ def score(root: Node) -> list[Node]:
     return [n for n in nodes if n.score > 0 and n.tag in CONTAINER]
 
 
+def _drop_link_lists(container: Node) -> None:
+    """Leave out blocks of three links or more that are little but links: menus without a name.
+
+    Within an article or main element lists of links belong to the text.
+    """
+    todo = [container]
+    while todo:
+        for part in todo.pop().parts:
+            if isinstance(part, Node) and not part.dropped and part.tag not in ("article", "main"):
+                if part.tag in MENUS and part.chars and part.linked > 0.8 * part.chars and sum(n.tag == "a" for n in _walk(part)) >= 3:
+                    part.dropped = True
+                else:
+                    todo.append(part)
+
+
 def extract(page: str | None) -> str:
     """The main text of a page."""
     if not page:
@@ -234,6 +257,8 @@ def extract(page: str | None) -> str:
     if not found:
         return "\n".join(blocks(root))
     best = max(found, key=lambda n: n.score)  # the first of equals
+    if best.tag not in ("article", "main"):
+        _drop_link_lists(best)
     if best.parent is None:
         return "\n".join(blocks(best))
     least = max(10.0, best.score * 0.2)

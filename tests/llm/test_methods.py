@@ -366,6 +366,9 @@ PAGES = {
     "<header><h1>Site</h1></header><main><p>Text &eacute; &#233; &lt;i&gt;</p><form><p>Name</p><input></form></main>": "Text é é <i>",
     "<p><b>bold<br><p>next</p>": "bold\nnext",
     "<body><nav>a</nav>": "",
+    "<body><ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul><div class='content has-sidebar'><p>Real text, here it is.</p></div><div id='leftSidebar'>no</div><div class='site-footer'>no</div></body>": "Real text, here it is.",
+    "<article><p>Links:</p><ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul></article>": "Links:\nOne\nTwo\nThree",
+    "<div class='post'><div class='entry-header'><h2>Title</h2></div><p>Body text, and more of it.</p><div class='cookieNotice'>ok</div><ol class='comment-list'><li>me too</ol></div>": "Title\nBody text, and more of it.",
 }
 
 
