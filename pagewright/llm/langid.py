@@ -43,7 +43,7 @@ ORDER = 4
 SAMPLE, SURE = 1500, 400
 UND = "und"
 #: Words whose costs a worker keeps at most, but for those of one batch.
-KNOWN = 400_000
+KNOWN = 150_000
 #: N-grams of one language and order that a model keeps: the most frequent.
 KEEP = 200_000
 
@@ -220,19 +220,19 @@ class Scorer:
 
     def _clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.costs = np.empty((0, len(self.own.models) + 1))
+        self.costs = np.empty((KNOWN, len(self.own.models) + 1))
 
     def learn(self, words: list[str]) -> None:
         """Work out the words' costs in every language, and their sizes, together."""
-        found = [self.costs]
+        first = len(self.at)
+        while len(self.costs) < first + len(words):
+            self.costs = np.concatenate([self.costs, np.empty_like(self.costs)])
         for i in range(0, len(words), 8192):
             part = words[i : i + 8192]
             points = chars(part)
             ends = np.flatnonzero(points == 32)
             logs = -np.log(self.tables.probabilities(points, ends))
-            found.append(np.column_stack([np.add.reduceat(logs, ends[:-1], axis=0), np.diff(ends)]))
-        first = len(self.costs)
-        self.costs = np.concatenate(found)
+            self.costs[first + i : first + i + len(part)] = np.column_stack([np.add.reduceat(logs, ends[:-1], axis=0), np.diff(ends)])
         self.at.update(zip(words, range(first, first + len(words)), strict=True))
 
     def entropies(self, texts: list[str | None]) -> list[tuple[np.ndarray | None, int]]:
