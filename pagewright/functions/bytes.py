@@ -31,18 +31,30 @@ def swapped(digits: Column, size: int) -> Column:
     return F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))])
 
 
+def _digits(raw: Column, at: Column, size: int) -> Column:
+    """Hex digits of size bytes, the last byte first.
+
+    Each byte is cut from raw itself: inside a lambda nothing is computed once
+    for several uses, so nothing here is worth sharing.
+    """
+    return F.concat(*[F.hex(F.substring(raw, (at + (i + 1)).cast("int"), F.lit(1))) for i in reversed(range(size))])
+
+
+def _fits(raw: Column, at: Column, size: int) -> Column:
+    return (at >= 0) & (F.octet_length(raw) >= at + size)
+
+
 def read_uint(raw: Column, at: Column | int, size: int) -> Column:
-    """Unsigned little-endian number of 1 to 8 bytes: long, or decimal(20,0) for 8 bytes."""
-    digits = swapped(F.hex(chunk(raw, at, size)), size)
-    if size < 8:
-        return F.conv(digits, 16, 10).cast("long")
-    return F.conv(digits, 16, 10).cast("decimal(20,0)")
+    """Unsigned little-endian number of 1 to 8 bytes: long, or decimal(20,0) for 8 bytes; null beyond the end."""
+    at = F.lit(at) if isinstance(at, int) else at
+    return F.when(_fits(raw, at, size), F.conv(_digits(raw, at, size), 16, 10).cast("long" if size < 8 else "decimal(20,0)"))
 
 
 def read_int(raw: Column, at: Column | int, size: int) -> Column:
-    """Signed little-endian number of 1, 2, 4 or 8 bytes."""
+    """Signed little-endian number of 1, 2, 4 or 8 bytes; null beyond the end."""
+    at = F.lit(at) if isinstance(at, int) else at
     if size == 8:  # conv to a negative base reads the bits as signed
-        return F.conv(swapped(F.hex(chunk(raw, at, 8)), 8), 16, -10).cast("long")
+        return F.when(_fits(raw, at, 8), F.conv(_digits(raw, at, 8), 16, -10).cast("long"))
     value, half = read_uint(raw, at, size), 1 << (8 * size - 1)
     return F.when(value >= half, value - 2 * half).otherwise(value)
 
@@ -87,18 +99,19 @@ def lower_hex(raw: Column) -> Column:
     return F.lower(F.hex(raw))
 
 
-def set_bits(bitmap: Column, *, clear: bool = False) -> Column:
-    """Indices of the set (or clear) bits of a bitmap, lowest bit of the first byte first."""
-    octets = F.octet_length(bitmap)
+def set_bits(bitmap: Column, *, clear: bool = False, skip: int = 0) -> Column:
+    """Indices of the set (or clear) bits of a bitmap, lowest bit of the first byte first; the bitmap may begin after skip bytes."""
+    octets = F.octet_length(bitmap) - skip
     every = F.when(octets > 0, F.sequence(F.lit(0), octets * 8 - 1)).otherwise(F.array().cast("array<int>"))
     wanted = F.lit(0 if clear else 1)
-    return F.filter(every, lambda i: F.getbit(byte(bitmap, F.floor(i / 8).cast("int")), i % 8).cast("int") == wanted)
+    return F.filter(every, lambda i: F.getbit(byte(bitmap, F.floor(i / 8).cast("int") + skip), i % 8).cast("int") == wanted)
 
 
-def chunks(raw: Column, size: int) -> Column:
-    """The whole chunks of a binary, in order."""
-    n = F.floor(F.octet_length(raw) / size).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(raw, (i * size + 1).cast("int"), F.lit(size)))).otherwise(F.array().cast("array<binary>"))
+def chunks(raw: Column, size: int, *, skip: int = 0, end: Column | int | None = None) -> Column:
+    """The whole chunks of a binary in order, from skip up to end."""
+    stop = F.octet_length(raw) if end is None else F.least(F.octet_length(raw), F.lit(end) if isinstance(end, int) else end)
+    n = F.floor((stop - skip) / size).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(raw, (i * size + skip + 1).cast("int"), F.lit(size)))).otherwise(F.array().cast("array<binary>"))
 
 
 def differing(left: Column, right: Column) -> Column:

@@ -213,8 +213,7 @@ def pointer_windows(history: DataFrame, counts: DataFrame, intervals: DataFrame,
 
 def slot_references(history: DataFrame, record_start: int, record_end: int) -> DataFrame:
     """(replica, ordinal, slot, ref) of the non-zero references of an indirect record on each page of history."""
-    record = chunk(F.col("raw"), record_start, record_end - record_start)
-    return history.select("replica", "ordinal", "checkpoint", F.explode(active_slots(record)).alias("s")).select("replica", "ordinal", "checkpoint", F.col("s.slot").alias("slot"), F.col("s.page").alias("ref"))
+    return history.select("replica", "ordinal", "checkpoint", F.explode(active_slots(F.col("raw"), record_start, record_end)).alias("s")).select("replica", "ordinal", "checkpoint", F.col("s.slot").alias("slot"), F.col("s.page").alias("ref"))
 
 
 def reference_edges(slots: DataFrame, every_page: DataFrame, counts: DataFrame) -> DataFrame:
@@ -227,7 +226,7 @@ def reference_edges(slots: DataFrame, every_page: DataFrame, counts: DataFrame)
 
 def predicted_pages(edges: DataFrame) -> DataFrame:
     """(replica, checkpoint, ordinal, formula, page) that the set bits of extended bitmaps stand for under each formula."""
-    bits = edges.where("error_code is null").select("replica", "checkpoint", "ordinal", "slot", "ref", F.explode(set_bits(F.substring("raw", EXTENDED_HEADER + 1, PAGE_SIZE))).alias("bit"))
+    bits = edges.where("error_code is null").select("replica", "checkpoint", "ordinal", "slot", "ref", F.explode(set_bits(F.col("raw"), skip=EXTENDED_HEADER)).alias("bit"))
     formulas = F.explode(F.array(*map(F.lit, BASE_FORMULAS))).alias("formula")
     return bits.select("*", formulas).select("replica", "checkpoint", "ordinal", "formula", (extended_base(F.col("formula"), F.col("slot"), F.col("ref")) + F.col("bit")).alias("page"))
 
@@ -295,7 +294,7 @@ def suffix_slack(table: DataFrame, page_size: int, *keys: str) -> DataFrame:
 def in_use_pages(record: Column, polarity: str) -> Column:
     """Pages that an inline record says are in use: set bits, or clear ones, after its start page."""
     base = read_uint(record, 1, 4)
-    return F.transform(set_bits(F.substring(record, 6, 2**31 - 1), clear=polarity == POLARITIES[1]), lambda b: base + b)
+    return F.transform(set_bits(record, clear=polarity == POLARITIES[1], skip=5), lambda b: base + b)
 
 
 def record_relations(history: DataFrame, names: tuple[str, str, str, str], page_size: int = PAGE_SIZE) -> DataFrame:

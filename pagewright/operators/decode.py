@@ -93,8 +93,8 @@ def valid_reference(page: Column, page_count: Column) -> Column:
 
 def commit_slots(page_zero: DataFrame) -> DataFrame:
     """(image_id, idx, role, ordinal, raw, class) of each slot of page zero; slot 0 is exclusive, the others shared."""
-    region = chunk(F.col("raw"), SLOTS_AT, SLOTS * SLOT_SIZE)
-    slots = page_zero.where("page = 0").select("image_id", F.posexplode(chunks(region, SLOT_SIZE)).alias("idx", "slot"))
+    region = chunks(F.col("raw"), SLOT_SIZE, skip=SLOTS_AT, end=SLOTS_AT + SLOTS * SLOT_SIZE)
+    slots = page_zero.where("page = 0").select("image_id", F.posexplode(region).alias("idx", "slot"))
     text = lower_hex(F.col("slot"))
     kind = F.lit("other")
     for raw, name in SLOT_CLASSES.items():
@@ -114,12 +114,14 @@ def allocation_map(record: Column) -> Column:
     )
     sound = code.isNull()
     inline, indirect = sound & (kind == INLINE), sound & (kind == INDIRECT)
-    rest = F.substring(record, 2, 2**31 - 1)
+    n = F.floor((size - 1) / REFERENCE_SIZE).cast("int")
+    numbers = F.transform(F.sequence(F.lit(0), n - 1), lambda i: read_uint(record, i * REFERENCE_SIZE + 1, REFERENCE_SIZE))
+    refs = F.when(n > 0, numbers).otherwise(F.array().cast("array<bigint>"))
     return F.struct(
         F.when(inline, "inline").when(indirect, "indirect").alias("map_type"),
         F.when(inline, read_uint(record, 1, 4)).alias("start_page"),
         F.when(inline, F.substring(record, INLINE_HEADER + 1, 2**31 - 1)).alias("bitmap"),
-        F.when(indirect, F.transform(chunks(rest, REFERENCE_SIZE), lambda r: read_uint(r, 0, 4))).alias("refs"),
+        F.when(indirect, refs).alias("refs"),
         code.alias("error_code"),
     )
 
@@ -138,7 +140,7 @@ def map_references(refs: Column) -> Column:
 
 def extended_bits(raw: Column) -> Column:
     """Relative set bits of an extended bitmap page; null unless its first byte is 5."""
-    return F.when(byte(raw, 0) == 5, set_bits(F.substring(raw, EXTENDED_HEADER + 1, 2**31 - 1)))
+    return F.when(byte(raw, 0) == 5, set_bits(raw, skip=EXTENDED_HEADER))
 
 
 def unsupported_traversal(rule: str) -> str:
@@ -161,11 +163,12 @@ def extended_base(formula: Column, slot: Column, reference: Column) -> Column:
     return F.when(formula.startswith("slot_relative"), by_slot).otherwise(reference.cast("long")) + shift
 
 
-def active_slots(record: Column, type_offset: int = 0) -> Column:
-    """(slot, page) of the references of an indirect record that are not zero."""
-    slots = chunks(F.substring(record, type_offset + 2, 2**31 - 1), REFERENCE_SIZE)
-    numbered = F.transform(slots, lambda r, i: F.struct(i.alias("slot"), read_uint(r, 0, 4).alias("page")))
-    return F.filter(numbered, lambda s: s["page"] != 0)
+def active_slots(raw: Column, start: int = 0, end: int | None = None) -> Column:
+    """(slot, page) of the references that are not zero of an indirect record, which lies from start to end."""
+    stop = F.octet_length(raw) if end is None else F.lit(end)
+    n = F.floor((stop - start - 1) / REFERENCE_SIZE).cast("int")
+    numbered = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("slot"), read_uint(raw, i * REFERENCE_SIZE + (start + 1), REFERENCE_SIZE).alias("page")))
+    return F.when(n > 0, F.filter(numbered, lambda s: s["page"] != 0))
 
 
 def repeated_pages(chain: DataFrame, page_count: int, max_depth: int = 4096) -> DataFrame:

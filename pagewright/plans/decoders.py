@@ -36,7 +36,7 @@ def inline_bitmap_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier keys as start page and bitmap of an inline map: each set bit's page, or why it is none."""
     suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("id"))
     record = F.concat(F.unhex(F.lit("00")), write_int(F.col("id"), 4), write_int(F.col("id") * 2654435761 % 65536, 2))
-    parts = suppliers.select("id", ops.allocation_map(record).alias("m"))
+    parts = suppliers.select("id", record.alias("record")).select("id", ops.allocation_map(F.col("record")).alias("m"))
     found = parts.select("id", F.explode(ops.inline_pages(F.col("m.start_page"), F.col("m.bitmap"), F.lit(90).cast("long"))).alias("p"))
     return found.select("id", "p.page", "p.error_code")
 
@@ -45,7 +45,8 @@ def indirect_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order keys as raw references of an indirect map: zeros and repeats stay."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"))
     record = F.concat(F.unhex(F.lit("01")), write_int(F.col("id"), 4), write_int(F.col("id") * 0, 4), write_int(F.col("id") % 1000, 4))
-    found = orders.select("id", F.explode(ops.map_references(ops.allocation_map(record)["refs"])).alias("r"))
+    maps = orders.select("id", record.alias("record")).select("id", ops.allocation_map(F.col("record")).alias("m"))
+    found = maps.select("id", F.explode(ops.map_references(F.col("m.refs"))).alias("r"))
     return found.select("id", "r.slot", "r.page")
 
 
@@ -53,7 +54,7 @@ def allocation_map_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is wrong with records of each type and size."""
     sizes = spark.range(0, 60).select(F.col("id"), (F.col("id") % 12).cast("int").alias("n"), F.floor(F.col("id") / 12).cast("int").alias("kind"))
     record = F.unhex(F.when(F.col("n") > 0, F.concat(F.lpad(F.hex("kind"), 2, "0"), F.repeat(F.lit("0A"), F.col("n") - 1))).otherwise(""))
-    return sizes.select("id", ops.allocation_map(record).alias("m")).select("id", "m.map_type", F.size("m.refs").alias("n_refs"), "m.error_code").withColumn("n_refs", F.when(F.col("map_type") == "indirect", F.col("n_refs")))
+    return sizes.select("id", record.alias("record")).select("id", ops.allocation_map(F.col("record")).alias("m")).select("id", "m.map_type", F.size("m.refs").alias("n_refs"), "m.error_code").withColumn("n_refs", F.when(F.col("map_type") == "indirect", F.col("n_refs")))
 
 
 def little_endian_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,5 +50,4 @@ def pages(images: DataFrame, page_size: int = PAGE_SIZE, *, short_last: bool = F
 def byte(raw: Column, at: Column | int) -> Column:
     """The byte at a zero-based place as an int; null beyond the end."""
     at = F.lit(at) if isinstance(at, int) else at
-    one = F.substring(raw, (at + 1).cast("int"), F.lit(1))
-    return F.when(F.octet_length(one) == 1, F.conv(F.hex(one), 16, 10).cast("int"))
+    return F.conv(F.hex(F.substring(raw, (at + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
