@@ -270,10 +270,13 @@ def d_flags(empty: Column, grown: Column, dropped: Column, regrown: Column, pola
     }
 
 
-def prefix_sums(table: DataFrame, flags: Sequence[str], *keys: str) -> DataFrame:
-    """Running counts of flags by offset: an interval's count is a difference of two."""
+def prefix_sums(table: DataFrame, flags: Sequence[str], *keys: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Running counts of flags by offset: an interval's count is a difference of two.
+
+    A row is a byte with booleans, or a strip of bytes with their counts; columns to keep go along.
+    """
     upto = Window.partitionBy(*keys).orderBy("off").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return table.select(*keys, "off", *[F.sum(F.col(f).cast("long")).over(upto).alias(f"{f}_upto") for f in flags])
+    return table.select(*keys, "off", *keep, *[F.sum(F.col(f).cast("long")).over(upto).alias(f"{f}_upto") for f in flags])
 
 
 def last_changed(table: DataFrame, *keys: str) -> DataFrame:
@@ -282,8 +285,11 @@ def last_changed(table: DataFrame, *keys: str) -> DataFrame:
     return table.withColumn("last_from", F.when(top >= F.col("off"), top).otherwise(-1)).withColumn("suffix_start", F.when(F.col("last_from") >= 0, F.col("last_from") + 1))
 
 
-def suffix_slack(table: DataFrame, page_size: int, *keys: str) -> DataFrame:
-    """(keys, slack): bytes after the last changed one, 0 if some of them is not unused (unused: boolean by row)."""
+def suffix_slack(table: DataFrame, page_size: Column | int, *keys: str) -> DataFrame:
+    """(keys, slack): bytes after the last changed one, 0 if some of them is not unused (unused: boolean by row).
+
+    Of each strip of a page only its last changed and its last used byte need be rows; page_size may be an aggregate.
+    """
     marked = last_changed(table, *keys)
     top = F.max(F.when(F.col("changed"), F.col("off"))).over(Window.partitionBy(*keys))
     return marked.withColumn("top", top).groupBy(*keys).agg(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import checkpoints as ops
 from ..operators import evidence
 from ..sources.generators import page_history
-from ..sources.images import byte
+from ..sources.images import PAGE_SIZE
 
 #: The ordered checkpoints of the second experiment.
 CHECKPOINTS = (
@@ -25,6 +25,8 @@ ROLES = {
     "low_first": "L_REL_0064", "low_last": "L_REL_1280", "high_first": "H_REL_0064", "high_last": "H_REL_0904",
 }
 PAGES = 40
+#: Bytes before a strip that intervals ending in it reach.
+BEFORE = 31
 
 
 def _state(replica, ordinal, page):
@@ -125,33 +127,69 @@ def chain_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.chain_errors(rows).where("error_code is not null")
 
 
-def _bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text whole, in strips of PAGE_SIZE bytes: offset, number of bytes, and the bytes with the 31 before them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("page"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("b"))
-    short = docs.where("page % 20 = 0").withColumn("b", F.substring("b", 1, 256)).where("octet_length(b) > 0")
-    return short.select("page", "b", F.explode(F.sequence(F.lit(0), F.octet_length("b") - 1)).alias("off")).select("page", "off", byte(F.col("b"), F.col("off")).alias("v"))
+    cut = docs.where("octet_length(b) > 0").select("page", "b", F.explode(F.sequence(F.lit(0), F.octet_length("b") - 1, F.lit(PAGE_SIZE))).alias("off"))
+    raw = F.substring(F.concat(F.lit(bytes(BEFORE)), F.col("b")), F.col("off") + 1, F.lit(PAGE_SIZE + BEFORE))
+    return cut.select("page", "off", F.least(F.lit(PAGE_SIZE), F.octet_length("b") - F.col("off")).alias("n"), raw.alias("raw"))
+
+
+def _signs(raw):
+    """Bytes as a text of one sign each."""
+    return F.decode(raw, "ISO-8859-1")
+
+
+def _spaces(signs):
+    return F.length(signs) - F.length(F.replace(signs, F.lit(" "), F.lit("")))
+
+
+def _last(strips: DataFrame) -> DataFrame:
+    """Offsets of the last byte above 127 and of the last 33 of each strip, null if it has none."""
+    back = F.reverse(_signs(F.substring("raw", BEFORE + 1, PAGE_SIZE)))
+    at = lambda found: F.when(found > 0, F.col("off") + F.col("n") - found)
+    return strips.select("page", "off", "n", at(F.regexp_instr(back, F.lit("[\\x80-\\xff]"))).alias("top"), at(F.instr(back, "!")).alias("used"))
 
 
 _BYTES = "d AS (SELECT doc_id AS page, hex(encode(coalesce(text, ''))) AS h FROM documents WHERE doc_id % 20 = 0), b AS (SELECT page, off::INT AS off, ('0x' || substr(h, 2 * off + 1, 2))::INT AS v FROM (SELECT page, h, unnest(range(0, least(length(h) // 2, 256))) AS off FROM d))"
 
 
 def prefix_sum_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spaces in the half-open interval of 32 bytes that ends after each offset, from running counts (first 256 bytes of one page in twenty: the window is the feature)."""
-    flags = _bytes(spark, sf_dir).withColumn("flag", F.col("v") == 32)
-    sums = ops.prefix_sums(flags, ["flag"], "page")
-    before = sums.select("page", (F.col("off") + 32).alias("off"), F.col("flag_upto").alias("before"))
-    return sums.join(before, ["page", "off"], "left").select("page", "off", "flag_upto", (F.col("flag_upto") - F.coalesce("before", F.lit(0))).alias("in_interval"))
+    """Spaces in the half-open interval of 32 bytes that ends after each offset, and up to it: running counts are carried from strip to strip.
+
+    Within a strip 32 bytes and the 31 before them are the bits of one number.
+    """
+    strips = _strips(spark, sf_dir).withColumn("flag", _spaces(_signs(F.substring("raw", BEFORE + 1, PAGE_SIZE))))
+    sums = ops.prefix_sums(strips, ["flag"], "page", keep=["n", "raw", "flag"])
+    parts = sums.select("page", "off", "n", "raw", (F.col("flag_upto") - F.col("flag")).alias("carried"), F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(32))).alias("at"))
+    inside = _signs(F.substring("raw", F.lit(BEFORE + 1), F.col("at")))
+    digits = F.rpad(F.replace(F.regexp_replace(_signs(F.substring("raw", F.col("at") + 1, F.lit(BEFORE + 32))), r"(?s)[^ ]", "0"), F.lit(" "), F.lit("1")), BEFORE + 32, "0")
+    parts = parts.select("page", (F.col("off") + F.col("at")).alias("start"), F.least(F.lit(32), F.col("n") - F.col("at")).alias("n"), (F.col("carried") + _spaces(inside)).alias("carried"), F.conv(digits, 2, 10).cast("long").alias("bits"))
+    rows = parts.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    upto = F.call_function("shiftright", F.col("bits"), 31 - F.col("i"))
+    one = F.lit(1).cast("long")
+    own = F.bit_count(upto.bitwiseAND(F.call_function("shiftleft", one, F.col("i") + 1) - 1))
+    window = F.bit_count(upto.bitwiseAND(F.lit((1 << 32) - 1).cast("long")))
+    return rows.select("page", (F.col("start") + F.col("i")).alias("off"), (F.col("carried") + own).alias("flag_upto"), window.cast("long").alias("in_interval"))
 
 
 def last_changed_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The highest offset above 127 of a page, where it is not below a byte, and the suffix slack after it."""
-    flags = _bytes(spark, sf_dir).withColumns({"changed": F.col("v") > 127, "unused": F.col("v") != 32})
-    return ops.last_changed(flags, "page").select("page", "off", "last_from", "suffix_start")
+    """The highest offset above 127 of a page, where it is not below a byte, and the suffix slack after it.
+
+    A strip stands at its last changed byte, or where it begins: then what holds of it holds of its bytes up to the page's last.
+    """
+    strips = _last(_strips(spark, sf_dir)).select("page", F.col("off").alias("start"), "n", F.coalesce("top", "off").alias("off"), F.col("top").isNotNull().alias("changed"))
+    rows = ops.last_changed(strips, "page").select("page", "last_from", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("off"))
+    top = F.when(F.col("last_from") >= F.col("off"), F.col("last_from"))
+    return rows.select("page", "off", F.coalesce(top, F.lit(-1)).alias("last_from"), (top + 1).alias("suffix_start"))
 
 
 def suffix_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes after the last changed one, if none of them is in use."""
-    flags = _bytes(spark, sf_dir).withColumns({"changed": F.col("v") > 127, "unused": F.col("v") != 33})
-    return ops.suffix_slack(flags, 256, "page").select("page", F.col("slack").cast("long").alias("slack"))
+    """Bytes of a text after the last changed one, if none of them is in use."""
+    strips = _last(_strips(spark, sf_dir)).withColumn("length", F.col("off") + F.col("n"))
+    mark = lambda at, changed: F.struct(F.coalesce(at, F.col("off")).alias("off"), (at.isNotNull() & F.lit(changed)).alias("changed"), (at.isNull() | F.lit(changed)).alias("unused"))
+    flags = strips.select("page", "length", F.explode(F.array(mark(F.col("top"), True), mark(F.col("used"), False))).alias("m")).select("page", "length", "m.*")
+    return ops.suffix_slack(flags, F.max("length"), "page").select("page", F.col("slack").cast("long").alias("slack"))
 
 
 def single_change_point(spark: SparkSession, sf_dir: str) -> DataFrame:
