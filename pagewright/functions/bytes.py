@@ -1,7 +1,8 @@
 """Little-endian numbers, bits and digests on binary columns.
 
 Everything here is a built-in expression (whole-stage code where Spark has it),
-but for the two float reads, whose bit patterns SQL can't reinterpret.
+but for the two float reads and writes, whose bit patterns SQL can't
+reinterpret, and the FNV-1a fold.
 """
 
 from __future__ import annotations
@@ -122,26 +123,24 @@ def differing(left: Column, right: Column) -> Column:
     return F.when((n == 0) | (left == right), none).otherwise(places)
 
 
+@F.pandas_udf(T.StringType())
+def _fnv1a64(raw: pd.Series) -> pd.Series:
+    def fold(octets):
+        state = FNV_OFFSET
+        for v in octets or b"":
+            state = (state ^ v) * FNV_PRIME & 0xFFFFFFFFFFFFFFFF
+        return f"{state:016x}"
+
+    return raw.map(fold)
+
+
 def fnv1a64(raw: Column) -> Column:
     """64-bit FNV-1a in lower hex: an ordered fold, so one task for each image.
 
-    The state is two 32-bit halves, as products of longs would overflow: the
-    prime is 2**40 + 0x1b3, so the low half times 0x1b3 carries into the high
-    one, which also gets the low half shifted by 8.
+    A fold in SQL reads the image anew for every byte, so long ones take the
+    square of their length; this one is linear.
     """
-    low, high, small = FNV_OFFSET & 0xFFFFFFFF, FNV_OFFSET >> 32, FNV_PRIME & 0xFFFF
-    octets = F.octet_length(raw)
-    places = F.when(octets > 0, F.sequence(F.lit(0), octets - 1)).otherwise(F.array().cast("array<int>"))
-    mask = F.lit(0xFFFFFFFF).cast("long")
-
-    def step(state: Column, i: Column) -> Column:
-        low = state["low"].bitwiseXOR(byte(raw, i).cast("long"))
-        product = low * small
-        carried = state["high"] * small + F.shiftright(product, 32) + F.shiftleft(low.bitwiseAND(F.lit(0xFFFFFF).cast("long")), 8)
-        return F.struct(product.bitwiseAND(mask).alias("low"), carried.bitwiseAND(mask).alias("high"))
-
-    start = F.struct(F.lit(low).cast("long").alias("low"), F.lit(high).cast("long").alias("high"))
-    return F.aggregate(places, start, step, lambda s: F.lower(F.concat(F.lpad(F.hex(s["high"]), 8, "0"), F.lpad(F.hex(s["low"]), 8, "0"))))
+    return _fnv1a64(raw)
 
 
 def framed(*parts: tuple[Column, int]) -> Column:

@@ -9,7 +9,7 @@ from ..functions.bytes import fnv1a64
 from ..operators import census as ops
 from ..sources.images import geometry, pages, text_images
 
-#: Bytes of a page of a text image, of a stride, and of the images whose every byte is folded.
+#: Bytes of a page of a text image, of a stride, and of the images that the SQL twin folds.
 TEXT_PAGE, STRIDE, FOLDED = 64, 128, 400
 
 
@@ -115,8 +115,8 @@ def image_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fnv1a64_per_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """64-bit FNV-1a of images of up to FOLDED bytes (the SQL twin's recursion is what bounds them)."""
-    return images(spark, sf_dir).where(F.col("length") <= FOLDED).select("image_id", fnv1a64(F.col("content")).alias("fnv1a64"))
+    """64-bit FNV-1a of every whole image (the SQL twin has only those of up to FOLDED bytes)."""
+    return images(spark, sf_dir).select("image_id", fnv1a64(F.col("content")).alias("fnv1a64"))
 
 
 def probe_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

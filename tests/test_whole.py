@@ -54,3 +54,15 @@ def test_suffix_slack_reads_every_byte(spark, texts):
     want = [(d, 0 if _top(b) < 0 or 33 in b[_top(b) + 1 :] else len(b) - 1 - _top(b)) for d, b in raws.items() if b]
     assert run(spark, folder, "suffix_slack", "page", "slack") == want
     assert max(s for _, s in want) > 100
+
+
+def test_fnv1a64_has_every_image(spark, texts):
+    folder, raws = texts
+
+    def fnv(b):
+        h = 0xCBF29CE484222325
+        for v in b:
+            h = (h ^ v) * 0x100000001B3 % (1 << 64)
+        return f"{h:016x}"
+
+    assert run(spark, folder, "fnv1a64_per_image", "image_id", "fnv1a64") == [(d, fnv(b)) for d, b in raws.items()]
