@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bytes import differing, fnv1a64
+from ..functions.bytes import differing, fnv1a64, swapped
 from ..sources.images import byte
 from .kinds import page_kind
 
@@ -146,13 +146,19 @@ def masked(offsets: DataFrame, length: int, *keys: str) -> DataFrame:
 
     A mask has at most ``length`` bits, so a group is bounded by it.
     """
+    return mask_of(offsets.groupBy(*keys).agg(F.sort_array(F.collect_set("off")).alias("offs")), length, *keys)
+
+
+def mask_of(grouped: DataFrame, length: int, *keys: str) -> DataFrame:
+    """masked() of rows that have their different offsets as an array, offs."""
     size = (length + 7) // 8
-    grouped = offsets.groupBy(*keys).agg(F.sort_array(F.collect_set("off")).alias("offs"))
-    by_byte = F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)),
-        lambda b: F.lpad(F.hex(F.aggregate(F.filter("offs", lambda o: F.floor(o / 8) == b), F.lit(0).cast("long"), lambda a, o: a + F.pow(F.lit(2), o % 8).cast("long"))), 2, "0"),
+    none = F.lit(0).cast("long")
+    bit = lambda o: F.call_function("shiftleft", F.lit(1).cast("long"), (o % 64).cast("int"))
+    by_word = F.transform(
+        F.sequence(F.lit(0), F.lit((size - 1) // 8)),
+        lambda w: swapped(F.lpad(F.hex(F.aggregate(F.filter("offs", lambda o: F.floor(o / 64) == w), none, lambda a, o: a.bitwiseOR(bit(o)))), 16, "0"), 8),
     )
-    mask = F.unhex(F.array_join(by_byte, ""))
+    mask = F.unhex(F.substring(F.array_join(by_word, ""), 1, 2 * size))
     return grouped.withColumn("mask", mask).select(
         *keys, F.size("offs").alias("bit_count"), F.array_min("offs").alias("first_off"), F.array_max("offs").alias("last_off"), F.sha2("mask", 256).alias("sha256"), "mask"
     )

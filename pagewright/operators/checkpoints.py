@@ -41,16 +41,16 @@ def changed_pages(page_index: DataFrame) -> DataFrame:
     return both.where(~F.col("now").eqNullSafe(F.col("was"))).select("replica", "ordinal", "page", status.alias("status"))
 
 
-def capture(current: DataFrame, prior: DataFrame) -> DataFrame:
-    """(page, sha256, raw, status) of an incremental capture: unchanged pages carry no bytes, removed ones no digest.
+def capture(current: DataFrame, prior: DataFrame, *keys: str) -> DataFrame:
+    """(keys, page, sha256, raw, status) of an incremental capture: unchanged pages carry no bytes, removed ones no digest.
 
-    current: (page, raw); prior: (page, sha256).
+    current: (keys, page, raw); prior: (keys, page, sha256).
     """
     now = current.withColumn("now", F.sha2("raw", 256))
-    both = now.join(prior.withColumnRenamed("sha256", "was"), "page", "full")
+    both = now.join(prior.withColumnRenamed("sha256", "was"), [*keys, "page"], "full")
     same = F.col("now").eqNullSafe(F.col("was"))
     status = F.when(same, "unchanged").when(F.col("now").isNull(), "removed").when(F.col("was").isNull(), "added").otherwise("changed")
-    return both.select("page", F.col("now").alias("sha256"), F.when(~same, F.col("raw")).alias("raw"), status.alias("status"))
+    return both.select(*keys, "page", F.col("now").alias("sha256"), F.when(~same, F.col("raw")).alias("raw"), status.alias("status"))
 
 
 def history_errors(page_index: DataFrame, counts: DataFrame, names: Sequence[str]) -> DataFrame:

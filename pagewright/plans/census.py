@@ -127,12 +127,11 @@ def probe_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mask_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bit masks of the offsets where an image's page 0 differs from the next one's."""
+    """Bit masks of the offsets where a page of an image differs from the next image's at its place."""
     from ..functions.bytes import differing
 
-    first = _pairs(spark, sf_dir).where("page = 0 and left_raw <> right_raw")
-    offs = first.select("image_id", F.explode(differing(F.col("left_raw"), F.col("right_raw"))).alias("off"))
-    return ops.masked(offs, TEXT_PAGE, "image_id").select("image_id", F.col("bit_count").cast("long").alias("bit_count"), "first_off", "last_off", F.lower(F.hex("mask")).alias("mask"))
+    offs = _pairs(spark, sf_dir).where("left_raw <> right_raw").select("image_id", "page", differing(F.col("left_raw"), F.col("right_raw")).alias("offs")).where("size(offs) > 0")
+    return ops.mask_of(offs, TEXT_PAGE, "image_id", "page").select("image_id", "page", F.col("bit_count").cast("long").alias("bit_count"), "first_off", "last_off", F.lower(F.hex("mask")).alias("mask"))
 
 
 QUERIES = {

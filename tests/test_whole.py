@@ -1,5 +1,7 @@
 """Queries read whole tables and whole texts: held against plain Python on small fixtures."""
 
+from hashlib import sha256
+
 import pytest
 
 from pagewright.plans import registry
@@ -66,3 +68,39 @@ def test_fnv1a64_has_every_image(spark, texts):
         return f"{h:016x}"
 
     assert run(spark, folder, "fnv1a64_per_image", "image_id", "fnv1a64") == [(d, fnv(b)) for d, b in raws.items()]
+
+
+def cut(b):
+    return [b[i : i + 64] for i in range(0, len(b), 64)]
+
+
+def test_opened_blobs_opens_every_page(spark, texts):
+    folder, raws = texts
+    bad = lambda p: sha256(p).hexdigest() < "2"
+    want = [(d, k, None if bad(p) else len(p), "unreconstructable_snapshot" if bad(p) else None) for d, b in raws.items() for k, p in enumerate(cut(b))]
+    got = registry.QUERIES["opened_blobs"](spark, folder).select("ordinal", "page", "n_bytes", "error_code").orderBy("ordinal", "page").collect()
+    assert [tuple(r) for r in got] == want
+    assert any(c and k > 3 and k % 2 for _, k, _, c in want)
+
+
+def test_mask_records_masks_every_page(spark, texts):
+    folder, raws = texts
+    want = []
+    for d, b in raws.items():
+        for k, (x, y) in enumerate(zip(cut(b), cut(raws.get(d + 1, b"")), strict=False)):
+            offs = [i for i in range(min(len(x), len(y))) if x[i] != y[i]]
+            if offs:
+                want.append((d, k, len(offs), offs[0], offs[-1], sum(1 << o for o in offs).to_bytes(8, "little").hex()))
+    assert run(spark, folder, "mask_records", "image_id", "page", "bit_count", "first_off", "last_off", "mask") == want
+    assert max(k for _, k, *_ in want) > 10
+
+
+def test_incremental_capture_has_every_page_of_every_image(spark, texts):
+    folder, raws = texts
+    want = []
+    for d, b in raws.items():
+        for k, p in enumerate(cut(b)):
+            status = "removed" if k % 5 == 3 else "added" if k % 7 == 2 else "changed" if k % 4 == 1 else "unchanged"
+            want.append((d, k, status, len(p) + (k % 4 == 1) if status in ("added", "changed") else None))
+    got = registry.QUERIES["incremental_capture"](spark, folder).select("image_id", "page", "status", "n_bytes").orderBy("image_id", "page").collect()
+    assert [tuple(r) for r in got] == want
