@@ -104,3 +104,14 @@ def test_incremental_capture_has_every_page_of_every_image(spark, texts):
             want.append((d, k, status, len(p) + (k % 4 == 1) if status in ("added", "changed") else None))
     got = registry.QUERIES["incremental_capture"](spark, folder).select("image_id", "page", "status", "n_bytes").orderBy("image_id", "page").collect()
     assert [tuple(r) for r in got] == want
+
+
+def test_changes_outside_intervals_compares_every_pair(spark, texts):
+    folder, raws = texts
+    want = []
+    for d, b in raws.items():
+        offs = [i for i, (x, y) in enumerate(zip(b, raws.get(d + 1, b""), strict=False)) if x != y and (i % 50 >= 30 or i >= 2050)]
+        if offs:
+            want.append((d, offs[0], len(offs)))
+    assert run(spark, folder, "changes_outside_intervals", "doc_id", "first_off", "n_outside") == want
+    assert len(want) > 3
