@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_double, case_id, has_shape, payload, pointer_token, safe_path, throughput
@@ -15,13 +15,13 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet")
 
 
-def _rows(parts: DataFrame, name: str = "part") -> DataFrame:
-    return ops.from_table(parts, "s", name, F.col("p_partkey") % 100, PART_KINDS)
+def _rows(parts: DataFrame, key: Column, name: str = "part") -> DataFrame:
+    return ops.from_table(parts, "s", name, key, PART_KINDS)
 
 
 def canonical_row_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by key and canonical JSON, equal ones kept: a digest of the JSON at each position."""
-    rows = _rows(_parts(spark, sf_dir))
+    rows = _rows(_parts(spark, sf_dir), F.col("p_partkey") % 100)
     placed = ops.ordered_rows(rows, ops.values_json(F.col("values")))
     return placed.select("canonical_key", F.col("position").cast("long").alias("position"), F.sha2("canon", 256).alias("canon_sha256"))
 
@@ -40,10 +40,10 @@ def named_order_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapshot_deep_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two readings of parts: some rows missing, sizes moved, one type changed, some of that allowed."""
-    parts = _parts(spark, sf_dir).where("p_partkey < 100")
-    left = ops.flattened(_rows(parts))
+    parts, key = _parts(spark, sf_dir), F.col("p_partkey")
+    left = ops.flattened(_rows(parts, key))
     moved = parts.where("p_partkey % 17 <> 3").withColumn("p_size", F.when(F.col("p_partkey") % 10 == 1, F.col("p_size") + 1).otherwise(F.col("p_size")))
-    right = ops.flattened(_rows(moved)).withColumn("type", F.when(F.col("path").endswith("9/p_name"), F.lit("memo")).otherwise(F.col("type")))
+    right = ops.flattened(_rows(moved, key)).withColumn("type", F.when(F.col("path").endswith("9/p_name"), F.lit("memo")).otherwise(F.col("type")))
     allowed = spark.createDataFrame([("/part/11/p_size",), ("/part/12/p_size",), ("/part/999/p_size",)], "path string")
     return ops.deep_diff(left, right, allowed)
 

@@ -115,3 +115,41 @@ def test_changes_outside_intervals_compares_every_pair(spark, texts):
             want.append((d, offs[0], len(offs)))
     assert run(spark, folder, "changes_outside_intervals", "doc_id", "first_off", "n_outside") == want
     assert len(want) > 3
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """Parts, suppliers and orders whose ids go beyond any small range."""
+    folder = str(tmp_path_factory.mktemp("tables"))
+    parts = [(i, f"n{i}", f"Brand#{i // 100}", f"t{i}", i % 50) for i in range(1, 251)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{folder}/part.parquet")
+    spark.createDataFrame([(i, (i - 1) // 30) for i in range(1, 91)], "s_suppkey long, s_nationkey int").write.parquet(f"{folder}/supplier.parquet")
+    spark.createDataFrame([(i,) for i in range(25)], "n_nationkey int").write.parquet(f"{folder}/nation.parquet")
+    spark.createDataFrame([(i,) for i in range(1, 201)], "o_orderkey long").write.parquet(f"{folder}/orders.parquet")
+    return folder
+
+
+def test_snapshot_deep_diff_reads_every_part(spark, tables):
+    want = [("/part/999/p_size", "allowed_difference_not_observed"), ("/part/12/p_size", "allowed_difference_not_observed")]
+    for i in range(1, 251):
+        for c in ("p_name", "p_size", "p_type"):
+            code = "key_difference" if i % 17 == 3 else "type_difference" if c == "p_name" and i % 10 == 9 else "value_difference" if c == "p_size" and i % 10 == 1 else None
+            if code and (i, c) != (11, "p_size"):
+                want.append((f"/part/{i}/{c}", code))
+    assert run(spark, tables, "snapshot_deep_diff", "path", "error_code") == sorted(want)
+
+
+def test_varying_attributes_reads_every_part(spark, tables):
+    want = [(f"Brand#{b}", a, n if a == "p_type" else 50) for b, n in ((0, 99), (1, 100), (2, 51)) for a in ("p_size", "p_type")]
+    assert run(spark, tables, "varying_attributes", "p_brand", "attribute", "n_values") == want
+
+
+def test_platform_records_reads_every_supplier(spark, tables):
+    want = [(i, 30, "repeated") if i < 3 else (i, 0, "missing") for i in range(20)]
+    assert run(spark, tables, "platform_records", "platform", "n", "error_code") == want
+
+
+def test_interval_list_validation_reads_every_order(spark, tables):
+    got = run(spark, tables, "interval_list_validation", "file", "idx", "start", "end")
+    want = [(i // 50, i % 50, i % 50 * 20 + i % 7, i % 50 * 20 + i % 7 + i % 50 * 37 % 23) for i in range(1, 201)]
+    assert got == want
