@@ -248,6 +248,14 @@ def _drop_link_lists(container: Node) -> None:
                     todo.append(part)
 
 
+def _article(node: Node) -> Node | None:
+    """The nearest article or main element that a node is or lies in: all of it is text that is not dropped."""
+    up: Node | None = node
+    while up is not None and up.tag not in ("article", "main"):
+        up = up.parent
+    return up
+
+
 def extract(page: str | None) -> str:
     """The main text of a page."""
     if not page:
@@ -257,11 +265,12 @@ def extract(page: str | None) -> str:
     if not found:
         return "\n".join(blocks(root))
     best = max(found, key=lambda n: n.score)  # the first of equals
+    least = max(10.0, best.score * 0.2)
+    best = _article(best) or best
     if best.tag not in ("article", "main"):
         _drop_link_lists(best)
     if best.parent is None:
         return "\n".join(blocks(best))
-    least = max(10.0, best.score * 0.2)
     lines: list[str] = []
     for part in best.parent.parts:
         if part is best:
