@@ -56,8 +56,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), folder, min_bytes=0)
-    read = warc.read_archive(spark, folder, payloads=False)
-    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    read = warc.read_archive(spark, folder)
+    block = F.when(F.col("record_type") == "revisit", 0).otherwise(F.octet_length("payload"))
+    whole = F.octet_length("record") == F.octet_length("header") + block + 4
+    n_bytes = F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.raise_error(F.lit("record bytes")).cast("long"))
+    return read.select("page_id", n_bytes.alias("payload_bytes"), warc.base32_sha1(F.col("payload")).alias("payload_digest"), "record_type", "refers_to")
 
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
