@@ -11,7 +11,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagewright.llm import common, extract, langid, linededup, media, mixing, neardup, quality, sentencepiece_bpe, toxicity
+from pagewright.llm import common, extract, langid, media, mixing, neardup, quality, sentencepiece_bpe, toxicity
 from pagewright.llm import queries as own
 
 
@@ -220,18 +220,6 @@ def test_estimate_is_close():
         assert abs(neardup.similarity(np.array([same]), n)[0] - share) < 0.06
 
 
-# --- line dedup
-
-
-def test_runs_merge_by_levels(spark):
-    runs = linededup.Runs(spark, fanout=3)
-    batch = lambda *keys: spark.createDataFrame([(k, 0, 1, 10 * k + i) for i, k in enumerate(keys)], "h1 long, h2 long, n_docs long, max_doc long")
-    for keys in ((1, 2), (2, 3), (3, 4), (1, 5), (5, 6)):
-        runs.add(batch(*keys))
-    assert [len(level) for level in runs.levels] == [2, 1]
-    assert {r.h1: r.n_docs for r in runs.merged().collect()} == {1: 2, 2: 2, 3: 2, 4: 1, 5: 2, 6: 1}
-
-
 # --- mixing
 
 
