@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..sources.scratch import forget, scratch, stored
+from ..sources import scratch as folders
+from ..sources.scratch import forget, scratch
 
-__all__ = ["BATCH_ROWS", "SPACE", "WORD", "by_batch", "forget", "held_out", "scratch", "spread", "stored"]
+__all__ = ["BATCH_ROWS", "SPACE", "WORD", "by_batch", "forget", "held_out", "hot_join", "scratch", "spread", "stored", "temporary"]
 
 #: A word is a run of anything but space and the ASCII control white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,6 +42,63 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size <= cores * SMALL_BYTES else df
 
 
+#: Tables that stored() has written since the innermost temporary() began, if one has.
+_written: list[list[DataFrame]] = []
+
+
+def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """df written to a shared folder and read again: cuts the lineage."""
+    table = folders.stored(df, name, codec)
+    if _written:
+        _written[-1].append(table)
+    return table
+
+
+@contextmanager
+def temporary() -> Iterator[list[DataFrame]]:
+    """A list of tables to keep: all others that stored() writes meanwhile are deleted at the end, when nothing reads them."""
+    _written.append([])
+    keep: list[DataFrame] = []
+    try:
+        yield keep
+    finally:
+        made = _written.pop()
+        for table in made:
+            if not any(table is k for k in keep):
+                forget(table)
+            elif _written:
+                _written[-1].append(table)
+
+
+#: Rows of one key from which it is joined apart.
+HOT_ROWS = 1000
+
+
+def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], *, most: int = 1_000_000, counts: str | None = None, keep: list[DataFrame] | None = None) -> DataFrame:
+    """Inner join of rows with a table that has one row a key, without all rows of a hot key meeting in one task.
+
+    Keys of more than HOT_ROWS rows, and of more than a share of 1 / ``most`` of
+    all, are looked up by broadcast (fewer than ``most`` table rows); the others are
+    joined by shuffle.  ``counts`` names a column of the table with the number of
+    rows a key has (it is left out); otherwise they are counted.  The table is
+    written, and noted in ``keep``.
+    """
+    if counts is None:
+        counts = "hot_rows"
+        table = table.join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(counts)), keys)
+    table = stored(table, "hot-table")
+    if keep is not None:
+        keep.append(table)
+    total, largest = table.agg(F.sum(counts), F.max(counts)).first()
+    bar = max(HOT_ROWS, (total or 0) // most)
+    plain = rows.join(table.drop(counts), keys)
+    if (largest or 0) <= bar:
+        return plain
+    hot = F.broadcast(table.where(F.col(counts) > bar).drop(counts))
+    rest = rows.join(hot, keys, "left_anti").join(table.where(F.col(counts) <= bar).drop(counts), keys)
+    return rows.join(hot, keys).unionByName(rest)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the rows that no model may learn from: crc32(id as text) mod 3 is 1."""
     crc = F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))

@@ -23,6 +23,10 @@ sequence is the one shingle.  Documents are linked if 100 * |A and B| >=
   its hashes in a few bits a shingle.  Two sets that differ in d shingles have
   parities that differ in d bits at most, so more differing bits than the
   threshold allows prove that they are not linked.
+* In a bucket of more than ``MEMBERS`` members, those of its largest component
+  meet only the others, so a bucket that is nearly one component costs its size.
+* Keys that many rows share (a class of copies, a bucket, a smallest id) are
+  joined by broadcast, and the rest by shuffle: see ``hot_join``.
 * Confirmation reads the full sets.  Those of all members of buckets are written
   once; pairs are dealt by their smaller id, hot ones in parts, and a task holds
   one such set while it streams the others.
@@ -46,7 +50,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, stored
+from .common import by_batch, forget, hot_join, stored, temporary
 
 BITS, SIGMAS, SEED = 2, 6.0, 20240101
 #: Ids that are broadcast at most (16 MB); above, the join is by shuffle.
@@ -213,7 +217,8 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 def likely(pairs: DataFrame, sigs: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs (a, b) with score, the bit-count estimate in thousandths, without those that are not linked by either test."""
     side = lambda x: sigs.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("parity").alias(f"parity_{x}"), F.col("n_shingles").alias(f"n_{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    # a hot smaller id has its signature, of PARITY_MOST bits at most, broadcast
+    joined = hot_join(pairs, side("a"), ["a"], most=1000).join(side("b"), "b")
     # sets whose sizes differ too much can't reach the threshold
     joined = joined.where((F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent))
 
@@ -278,16 +283,41 @@ class Block:
         return out
 
 
+def block_plan(rest: DataFrame) -> DataFrame:
+    """(bucket, main, k1, k2) of each bucket of more than MEMBERS members (bucket, id, comp).
+
+    main is its largest component, k1 and k2 the numbers of parts of MEMBERS
+    members, about, of main and of the others.
+    """
+    per = rest.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    per = per.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("m")).where(F.col("n") > MEMBERS)
+    parts = lambda n: F.ceil(n / MEMBERS).cast("int")
+    return per.select("bucket", F.col("m.comp").alias("main"), parts(F.col("m.n")).alias("k1"), parts(F.col("n") - F.col("m.n")).alias("k2"))
+
+
+def in_blocks(rest: DataFrame, plan: DataFrame) -> DataFrame:
+    """Members (bucket, id, comp) with their part of the bucket, once for each two parts (p, q) that are compared.
+
+    Parts of the largest component meet those of the others only.
+    """
+    few = plan.count() <= BROADCAST_IDS
+    rows = rest.join(F.broadcast(plan) if few else plan, "bucket", "left").where("k2 is null or k2 > 0")
+    place = lambda k: F.pmod(F.xxhash64("id"), k).cast("int")
+    main = F.col("comp") == F.col("main")
+    part = F.when(F.col("k1").isNull(), F.lit(0)).when(main, place(F.col("k1"))).otherwise(F.col("k1") + place(F.col("k2")))
+    last = F.col("k1") + F.col("k2") - 1
+    others = F.when(F.col("k1").isNull(), F.array(F.lit(0))).when(main, F.sequence(F.col("k1"), last)).otherwise(F.sequence(F.lit(0), last))
+    rows = rows.select("bucket", "id", "comp", part.alias("part"), F.explode(others).alias("other"))
+    return rows.select("bucket", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "id", "comp", "part")
+
+
 def within_buckets(rest: DataFrame, sigs: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs (a, b) of members (bucket, id, comp) in one bucket but not one component, that both tests leave.
 
-    Members are compared where they lie: buckets of more than MEMBERS are cut in
-    parts by id, and each two parts are one task's group.
+    Members are dealt at once by bucket and two of its parts, and compared where they meet.
     """
-    sizes = rest.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("k"))
-    rows = rest.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    rows = rows.select("bucket", "id", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    rows = rows.join(sigs, "id").select("bucket", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "id", "comp", "part", "n_shingles", "sig", "parity")
+    rows = in_blocks(rest, stored(block_plan(rest), "near-blocks"))
+    rows = rows.join(sigs, "id").select("bucket", "p", "q", "id", "comp", "part", "n_shingles", "sig", "parity")
     rows = rows.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "n_shingles", "id")
 
     def make():
@@ -319,9 +349,11 @@ def within_buckets(rest: DataFrame, sigs: DataFrame, n: int, percent: int) -> Da
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    per = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    dealt = pairs.select("a", "b").join(per, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PART).cast("long")).cast("int"))
-    dealt = stored(dealt.select("a", "part", "b"), "near-dealt")
+    pairs = stored(pairs.select("a", "b"), "near-pairs")
+    per = stored(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART), "near-hubs")
+    few = per.count() <= BROADCAST_IDS
+    part = F.pmod(F.xxhash64("b"), F.ceil(F.coalesce("n", F.lit(1)) / PART).cast("long")).cast("int")
+    dealt = pairs.join(F.broadcast(per) if few else per, "a", "left").select("a", part.alias("part"), "b")
     members = dealt.join(sets.withColumnRenamed("id", "b"), "b").select("a", "part", F.lit(1).alias("member"), "b", "grams")
     hubs = dealt.select("a", "part").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "part", F.lit(0).alias("member"), F.col("a").alias("b"), "grams")
     rows = hubs.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", "member")
@@ -368,7 +400,10 @@ def components(links: DataFrame, *, rounds: int = 60) -> DataFrame:
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u"))
         after = stored(small.where("v != u").distinct(), "near-edges")
-        if _digest(after) == _digest(edges):
+        settled = _digest(after) == _digest(edges)
+        forget(large)
+        forget(after if settled else edges)
+        if settled:
             break
         edges = after
     else:
@@ -399,21 +434,31 @@ def near_duplicates(
     docs: DataFrame, *, words: int = 5, percent: int = 80, bands: int = 40, rows: int = 6, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs."""
+    with temporary() as keep:
+        every = _near_duplicates(docs, words, percent, bands, rows, doc_id, text, keep)
+    kept = F.coalesce(F.col("id") == F.col("comp"), F.lit(True))
+    return every.select(F.col("id").alias(doc_id), "n_shingles", F.col("comp").alias("component_id"), kept.alias("kept"))
+
+
+def _near_duplicates(docs: DataFrame, words: int, percent: int, bands: int, rows: int, doc_id: str, text: str, keep: list[DataFrame]) -> DataFrame:
+    """(id, n_shingles, comp) of every row of docs; the tables that it reads are noted in ``keep``."""
     n = bands * rows
     found = stored(signatures(docs, words=words, bands=bands, rows=rows, doc_id=doc_id, text=text), "near-sigs")
+    keep.append(found)
     filled = found.where("n_shingles > 0 and id is not null")
-    classes = stored(filled.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "near-classes")
-    # one row for each class: the signature of any of its members
-    reps = filled.join(classes, ["k1", "k2"]).where("id = rep").dropDuplicates(["id", "k1", "k2"])
+    classes = stored(filled.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "near-classes")
+    # one row for each class, that of its smallest id: joined by id, so copies of one text don't meet
+    own_class = classes.select(F.col("rep").alias("id"), "k1", "k2")
+    reps = filled.join(own_class, ["id", "k1", "k2"], "left_semi").dropDuplicates(["id", "k1", "k2"])
     reps = stored(reps.select("id", "k1", "k2", "n_shingles", "sig", "parity", "hashes"), "near-reps")
 
     banded = reps.select("id", F.explode("hashes").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub != top").select("bucket", "hub")
-    members = stored(banded.join(buckets, "bucket").select("bucket", "hub", "id").distinct(), "near-members")
+    buckets = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.count(F.lit(1)).alias("n")).where("hub != top").select("bucket", "hub", "n")
+    members = stored(hot_join(banded, buckets, ["bucket"], counts="n").select("bucket", "hub", "id").distinct(), "near-members")
     sigs = reps.select("id", "n_shingles", "sig", "parity")
 
-    star = members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    star = stored(likely(star, sigs, n, percent), "near-star")
+    star = stored(members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "near-star")
+    star = stored(likely(star, sigs, n, percent), "near-likely")
     involved = members.select("id").distinct()
     few = involved.count() <= BROADCAST_IDS
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
@@ -436,15 +481,13 @@ def near_duplicates(
     comps = stored(relabelled(comps, second), "near-comps")
 
     # what is left: buckets with several components, less their smallest id
-    placed = members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2").select("bucket")
-    rest = stored(placed.join(mixed, "bucket").where("id != hub").select("bucket", "id", "comp"), "near-rest")
+    placed = stored(members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "near-placed")
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("n")).where("c1 != c2").select("bucket", "n")
+    rest = stored(hot_join(placed, mixed, ["bucket"], counts="n").where("id != hub").select("bucket", "id", "comp"), "near-rest")
     third = confirmed(within_buckets(rest, sigs, n, percent), sets, percent)
     comps = stored(relabelled(comps, third.unionByName(own.distinct())), "near-comps")
 
-    least = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("comp", "rep").alias("comp"))
-    filled = filled.select("id", "n_shingles", "k1", "k2").join(least, ["k1", "k2"]).select("id", "n_shingles", "comp")
+    least = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("comp", "rep").alias("comp"), "n")
+    filled = hot_join(filled.select("id", "n_shingles", "k1", "k2"), least, ["k1", "k2"], counts="n", keep=keep).select("id", "n_shingles", "comp")
     empty = found.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("comp"))
-    every = filled.unionByName(empty)
-    kept = F.coalesce(F.col("id") == F.col("comp"), F.lit(True))
-    return every.select(F.col("id").alias(doc_id), "n_shingles", F.col("comp").alias("component_id"), kept.alias("kept"))
+    return filled.unionByName(empty)
