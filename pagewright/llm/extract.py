@@ -1,12 +1,15 @@
 """Main text of web pages by tree scoring.
 
-A page is read into a light tree of its elements.  Paragraphs pass points for
-their length and commas to their parent and, in smaller shares, to the ancestors
-above it; an element's points are discounted by the share of its text that is in
-links.  The element with the most points is the container; it is kept with those
-of its siblings that score like it or are paragraphs of running text.  Menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are left out by element, role, class or id, wherever they stand.
+A page is read in one pass into a light tree of its elements.  Each text belongs
+to the nearest block around it.  Paragraphs pass points for their length and
+commas to their parent and, in smaller shares, to the ancestors above it; an
+element's points are discounted by the share of its text that is in links.  The
+element with the most points is the container; it is kept with those of its
+siblings that score like it or are paragraphs of running text.  Menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
+are left out: by element or role wherever they stand, by class or id outside an
+article or main element.  Within one a name alone leaves nothing out: it lowers
+the points of the part, and the part goes if its paragraphs then score too little.
 
 Text of a block is one line: character references decoded, white space made one
 space, ends trimmed; empty blocks go; blocks are joined by \\n in page order.
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,114 +63,200 @@ UNLIKELY = frozenset(
     "header masthead topbar footer foot copyright sidebar aside rail widget widgets related recommended recommendations share sharing social newsletter subscribe subscription signup login "
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay comment comments commentlist disqus reply replies respond discussion toolbar pagination pager skip tags form search".split()
 )
+#: Beside these a name of the words above still means the same: comment-list, site-footer.
+NEUTRAL = frozenset("list box section area container wrapper wrap block item items body inner outer site page main top bottom left right global user reader post posts article articles entry content links text message bar btn button".split())
+#: Share of its points that a part with such a name keeps within an article, and that a part for readers or sellers keeps; the mean points of a paragraph that it needs.
+NAMED, FOREIGN, LEAST = 0.25, 0.05, 1.0
+FOREIGN_NAMES = frozenset("ad ads advert adverts advertisement advertising adbox adsense sponsor sponsored promo promoted comment comments commentlist disqus reply replies respond cookie cookies consent gdpr".split())
 #: A header of one of these is the article's own.
 LIKELY = frozenset("article content main post entry story".split())
 #: After one of these a name tells of another part of the page: has-sidebar.
 ABOUT = frozenset("with without has no is not".split())
 
-_TAG = re.compile(r"<(?:!--(?:.*?-->|.*)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?][^>]*>)", re.S)
-_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?![\w-])""", re.I)
+#: A tag from its "<" on.  Text outside quotes holds no "<", so a tag that never closes ends the search at the next one.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/><]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>""")
+#: The same where a quote is never closed.
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/><]*)([^<>]*+)>")
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?![\w-])""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_LINE_WORDS = re.compile(r"\S+")
 COMMAS = re.compile("[,،、，;]")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "score", "chars", "linked")
-
-    def __init__(self, tag: str, parent: "Node | None", dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
-        self.parts: list = []  # texts and nodes in page order
-        self.score = 0.0
-        self.chars = self.linked = 0
-
-
-def _unlikely(tag: str, attributes: str) -> bool:
-    for m in _ATTRIBUTE.finditer(attributes):
+    __slots__ = ("tag", "parent", "depth", "block", "paragraph", "article", "parts", "dropped", "share", "score", "chars", "linked", "links", "own", "own_linked", "points", "paragraphs", "full")
+
+    def __init__(self, tag: str, parent: "Node | None"):
+        self.tag, self.parent = tag, parent
+        self.parts: list = []  # texts, decoded, and nodes in page order
+        self.dropped, self.share = False, 1.0
+        self.score = self.points = 0.0
+        self.chars = self.linked = self.links = self.paragraphs = 0
+        self.own: list[str] = []  # texts of a block that no other block within it holds
+        self.own_linked = 0
+        self.full = False  # holds a paragraph of its own
+        if parent is None:
+            self.depth, self.block, self.paragraph, self.article = 0, self, None, False
+        else:
+            self.depth = parent.depth + 1
+            self.block = self if tag in BLOCK else parent.block
+            # the open paragraph that a block's start ends
+            self.paragraph = self if tag == "p" else None if tag in CONTAINER else parent.paragraph
+            self.article = parent.article or tag in ("article", "main")
+
+
+def _attributes(text: str) -> tuple[bool, list[str]]:
+    """Whether role or hidden says that a part is not the article, and the names of its class and id."""
+    names: list[str] = []
+    for m in _ATTRIBUTE.finditer(text):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "role" and value.strip().lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and any(map(_names_other, value.split())):
-            return True
-    return False
+            return True, []
+        if name in ("class", "id"):
+            names += value.split()
+    return False, names
+
+
+def _name_words(name: str) -> list[str]:
+    return [w.lower() for w in _WORDS.findall(name)]
 
 
 def _names_other(name: str) -> bool:
     """Whether a class or id names a part beside the article, by its first or last word: comment-list, site-footer."""
-    words = [w.lower() for w in _WORDS.findall(name)]
+    words = _name_words(name)
     if not words or ABOUT & set(words[:-1]):
         return False
     found = {words[0], words[-1]} & UNLIKELY
     return bool(found) and not (found == {"header"} and LIKELY & set(words))
 
 
+def _name_share(name: str) -> float:
+    """The share of its points that a part keeps by its class or id within an article: only names without another word lower it."""
+    words = set(_name_words(name))
+    if not words & UNLIKELY or not words <= UNLIKELY | NEUTRAL or "header" in words:
+        return 1.0
+    return FOREIGN if words & FOREIGN_NAMES else NAMED
+
+
+def _judge(node: Node, attributes: str) -> None:
+    """What element, role and names say of a node."""
+    tag = node.tag
+    if tag in DROPPED:
+        node.dropped = True
+        return
+    node.dropped, names = _attributes(attributes)
+    if not names or tag in ("html", "body", "article", "main"):
+        return
+    if not node.article:
+        node.dropped = node.dropped or any(map(_names_other, names))
+    elif tag in BLOCK and tag not in HEADING:
+        node.share = min(map(_name_share, names))
+
+
+class Reader:
+    """Makes the tree of a page; stacks of open elements by name make every step short, however deep the page."""
+
+    def __init__(self) -> None:
+        self.root = self.node = Node("#root", None)
+        self.opened: dict[str, list[Node]] = {}
+
+    def text(self, text: str) -> None:
+        if text:
+            self.node.parts.append(references.unescape(text))
+
+    def _close(self, last: Node) -> None:
+        """End an open element and all within it."""
+        while True:
+            node = self.node
+            self.opened[node.tag].pop()
+            self.node = node.parent
+            if node is last:
+                return
+
+    def _nearest(self, tag: str) -> Node | None:
+        found = self.opened.get(tag)
+        return found[-1] if found else None
+
+    def end(self, tag: str) -> None:
+        """An end tag closes the nearest open element of its name; inline ones don't cross a block."""
+        found = self._nearest(tag)
+        if found is not None and (tag in BLOCK or found.depth > self.node.block.depth):
+            self._close(found)
+
+    def start(self, tag: str, attributes: str) -> None:
+        if tag in VOID:
+            if tag in BLOCK:
+                self.node.parts.append(Node(tag, self.node))
+            elif tag in ("br", "img", "input", "embed"):
+                self.node.parts.append(" ")
+            return
+        if tag in BLOCK:
+            if (paragraph := self.node.paragraph) is not None:
+                self._close(paragraph)
+            if tag in CLOSES:
+                ends, within = CLOSES[tag]
+                floor = max((n.depth for w in within if (n := self._nearest(w)) is not None), default=0)
+                open_ones = [self.opened[e][at] for e in ends if self.opened.get(e) for at in (bisect_right(self.opened[e], floor, key=_depth),) if at < len(self.opened[e])]
+                if open_ones:
+                    self._close(min(open_ones, key=_depth))
+        child = Node(tag, self.node)
+        _judge(child, attributes)
+        self.node.parts.append(child)
+        if tag not in RAW and (tag in BLOCK or not attributes.rstrip().endswith("/")):
+            self.opened.setdefault(tag, []).append(child)
+            self.node = child
+
+
+def _depth(node: Node) -> int:
+    return node.depth
+
+
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+
+
 def parse(page: str) -> Node:
-    root = node = Node("#root", None, False)
-    at, n = 0, len(page)
-    while at < n:
-        m = _TAG.search(page, at)
+    reader = Reader()
+    at, n, done = 0, len(page), 0  # text up to done is in the tree
+    closed = 0  # where the next ">" after "<!" is
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            reader.text(page[done:at])
+            at = page.find("-->", at + 4)
+            done = at = n if at < 0 else at + 3
+            continue
+        if page[at + 1 : at + 2] in ("!", "?"):
+            if closed < at:
+                closed = page.find(">", at)
+                closed = n if closed < 0 else closed
+            if closed < n:
+                reader.text(page[done:at])
+                done = at = closed + 1
+            else:
+                at += 1
+            continue
+        m = _TAG.match(page, at) or _PLAIN_TAG.match(page, at)
         if not m:
-            node.parts.append(page[at:])
-            break
-        if m.start() > at:
-            node.parts.append(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+            at += 1
             continue
+        reader.text(page[done:at])
+        done = at = m.end()
         tag = m[2].lower()
-        if m[1]:  # an end tag closes the nearest open element of its name; inline ones don't cross a block
-            up = node
-            while up is not None and up.tag != tag and not (tag not in BLOCK and up.tag in BLOCK):
-                up = up.parent
-            if up is not None and up.tag == tag and up.parent is not None:
-                node = up.parent
-            continue
-        if tag in VOID:
-            node.parts.append(" " if tag in ("br", "wbr", "img", "input", "embed") else Node(tag, node, False))
-            if tag == "wbr":
-                node.parts.pop()
+        if m[1]:
+            reader.end(tag)
             continue
-        if tag in BLOCK:
-            up = node  # a block ends an open paragraph, whatever is open in it
-            while up.parent is not None and up.tag not in CONTAINER and up.tag != "p":
-                up = up.parent
-            if up.tag == "p":
-                node = up.parent
-            if tag in CLOSES:
-                ends, within = CLOSES[tag]
-                up, last = node, None
-                while up.parent is not None and up.tag not in within:
-                    if up.tag in ends:
-                        last = up
-                    up = up.parent
-                if last is not None:
-                    node = last.parent
-        child = Node(tag, node, node.dropped or tag in DROPPED or _unlikely(tag, m[3]))
-        node.parts.append(child)
+        reader.start(tag, m[3])
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
-        elif not m[3].rstrip().endswith("/") or tag in BLOCK:
-            node = child
-    return root
-
-
-def _page_header(node: Node) -> bool:
-    """A header of the page; one inside the article holds its headings."""
-    up = node.parent
-    while up is not None:
-        if up.tag in ("article", "main"):
-            return False
-        up = up.parent
-    return True
+            end = _RAW_END[tag].search(page, at)
+            done = at = end.end() if end else n
+    reader.text(page[done:])
+    return reader.root
 
 
 def _walk(node: Node):
-    """All nodes that are not left out, parents first."""
+    """All nodes that are not left out, parents first; a header outside articles is the page's."""
     todo = [node]
     while todo:
         one = todo.pop()
-        if one.dropped or one.tag == "header" and _page_header(one):
+        if one.dropped or one.tag == "header" and not one.article:
             one.dropped = True
             continue
         yield one
@@ -174,7 +264,7 @@ def _walk(node: Node):
 
 
 def _clean(text: str) -> str:
-    return " ".join(_LINE_WORDS.findall(references.unescape(text)))
+    return " ".join(text.split())
 
 
 def blocks(node: Node) -> list[str]:
@@ -204,22 +294,68 @@ def blocks(node: Node) -> list[str]:
     return lines
 
 
+def paragraph_points(text: str, linked: int) -> float:
+    """Points of a paragraph's text, of which so many characters are in links."""
+    points = min(len(text) / 25, 1.0) + len(COMMAS.findall(text)) + min(len(text) / 100, 3.0)
+    return points * (1 - min(linked / max(len(text), 1), 1.0))
+
+
+def _measure(nodes: list[Node]) -> None:
+    """Sizes, links and own texts of nodes that are given parents first."""
+    inside_link: set[int] = set()
+    for node in nodes:
+        link = node.tag == "a" or node.parent is not None and id(node.parent) in inside_link
+        if link:
+            inside_link.add(id(node))
+        for part in node.parts:
+            if isinstance(part, str):
+                block = node.block
+                block.own.append(part)
+                if link:
+                    block.own_linked += len(part.strip())
+            elif part.tag in BLOCK:
+                node.block.own.append(" ")
+    for node in reversed(nodes):
+        node.chars += sum(len(p) for p in node.parts if isinstance(p, str) and not p.isspace())
+        node.links += node.tag == "a"
+        if node.tag == "a":
+            node.linked = node.chars
+        if (up := node.parent) is not None:
+            up.chars += node.chars
+            up.linked += node.linked
+            up.links += node.links
+            up.full = up.full or node.tag in PARAGRAPH
+
+
+def _judge_named(nodes: list[Node]) -> None:
+    """Leave out the parts of articles whose points, lowered for their names, are too few a paragraph."""
+    for node in reversed(nodes):
+        if node.block is node and (text := _clean("".join(node.own))):
+            node.points += paragraph_points(text, node.own_linked)
+            node.paragraphs += 1
+        if node.share < 1 and node.paragraphs and node.share * node.points < LEAST * node.paragraphs:
+            node.dropped = True
+            node.points, node.paragraphs = 0.0, 0
+        if node.parent is not None:
+            node.parent.points += node.points
+            node.parent.paragraphs += node.paragraphs
+
+
 def score(root: Node) -> list[Node]:
     """Points of every container; returns those that have any, in page order."""
     nodes = list(_walk(root))
-    for node in reversed(nodes):  # children before parents
-        own = sum(len(p) for p in node.parts if isinstance(p, str) and not p.isspace())
-        kids = [p for p in node.parts if isinstance(p, Node) and not p.dropped]
-        node.chars = own + sum(k.chars for k in kids)
-        node.linked = node.chars if node.tag == "a" else sum(k.linked for k in kids)
+    _measure(nodes)
+    if any(node.share < 1 for node in nodes):
+        _judge_named(nodes)
+        nodes = list(_walk(root))
     for node in nodes:
-        loose = node.tag in CONTAINER and any(isinstance(p, str) and not p.isspace() for p in node.parts)
-        if node.tag not in PARAGRAPH and not loose or not node.chars or any(isinstance(p, Node) and p.tag in PARAGRAPH and not p.dropped for p in node.parts):
+        if node.tag not in PARAGRAPH and node.tag not in CONTAINER or node.tag in PARAGRAPH and node.full:
+            continue
+        text = _clean("".join(node.own))
+        if not text:
             continue
-        text = " ".join(blocks(node))
-        points = min(len(text) / 25, 1.0) + len(COMMAS.findall(text)) + min(len(text) / 100, 3.0)
-        points *= 1 - node.linked / node.chars
-        up, share = node if loose and node.tag not in PARAGRAPH else node.parent, 1.0
+        points = node.share * paragraph_points(text, node.own_linked)
+        up = node.parent if node.tag in PARAGRAPH else node
         for share in (1.0, 0.5, 0.25, 0.125):
             if up is None:
                 break
@@ -242,7 +378,7 @@ def _drop_link_lists(container: Node) -> None:
     while todo:
         for part in todo.pop().parts:
             if isinstance(part, Node) and not part.dropped and part.tag not in ("article", "main"):
-                if part.tag in MENUS and part.chars and part.linked > 0.8 * part.chars and sum(n.tag == "a" for n in _walk(part)) >= 3:
+                if part.tag in MENUS and part.chars and part.linked > 0.8 * part.chars and part.links >= 3:
                     part.dropped = True
                 else:
                     todo.append(part)
@@ -265,7 +401,8 @@ def extract(page: str | None) -> str:
     if not found:
         return "\n".join(blocks(root))
     best = max(found, key=lambda n: n.score)  # the first of equals
-    least = max(10.0, best.score * 0.2)
+    like = best.score * 0.2
+    least = max(10.0, like)
     best = _article(best) or best
     if best.tag not in ("article", "main"):
         _drop_link_lists(best)
@@ -278,8 +415,8 @@ def extract(page: str | None) -> str:
         elif isinstance(part, Node) and not part.dropped and part.chars:
             density = part.linked / part.chars
             running = part.tag in PARAGRAPH and (part.chars > 80 and density < 0.25 or density == 0 and part.chars > 0 and best.tag not in ("article", "main"))
-            like = part.tag in CONTAINER and part.score >= least and density < 0.25
-            if running or like or part.tag in HEADING and density < 0.25:
+            similar = part.tag in CONTAINER and part.score >= (like if part.tag == best.tag == "article" else least) and density < 0.25
+            if running or similar or part.tag in HEADING and density < 0.25:
                 lines += blocks(part)
     return "\n".join(lines)
 
