@@ -1,18 +1,20 @@
 """Toxicity by noisy-channel deobfuscation.
 
 A written token may hide a word: letters replaced by look-alike signs, set apart
-by spaces or signs, or repeated.  Tokens that look so are read as a lattice: each
-character may stand for itself, for the letters it looks like, for the letter
-before it once more, or (separators) for nothing.  Viterbi decoding finds the
-letters of highest probability under a character trigram model and the
-channel's costs.  The restored words, with the other words of the text, are
-scored by a logistic model of words and their beginnings.
+by spaces or signs, or repeated.  Every token with a sign or a doubled letter is
+read as a lattice: each character may stand for itself, for the letters it looks
+like, for the letter before it once more, or (signs) for nothing or a word's end.
+Viterbi decoding over all states of the lattice, the last two letters each, finds
+the letters of highest probability under a character trigram model and the
+channel's costs; a token that hides nothing is best read as itself.  The restored
+words, with the other words of the text, are scored by a logistic model of words
+and their beginnings.
 
 The trigram model is counted over the whole texts of all rows that are not held
 out.  The classifier is fitted on at most about ``positive`` and ``negative``
 labelled rows that are not held out, chosen by a hash of the id; its features are
-those more frequent in toxic rows, at most ``FEATURES``, with an L1 penalty.
-Language, source and id are never read by a score.
+those more frequent in toxic rows, found in three of them at least, with an L1
+penalty.  Language, source and id are never read by a score.
 
 Nulls and odd inputs: a null or empty text gets the score of a text without a
 feature; a label without its document, a null label or a null id teaches
@@ -27,7 +29,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +38,10 @@ from pyspark.sql import functions as F
 
 from .common import by_batch, held_out
 
-#: Labelled rows of each kind that the classifier learns from, about, and features at most.
-POSITIVE, NEGATIVE, FEATURES = 3000, 5000, 5000
+#: Labelled rows of each kind that the classifier learns from, about.
+POSITIVE, NEGATIVE = 3000, 5000
 #: Buckets of the trigram model's hashed counts, and tokens that a worker keeps.
 BUCKETS, KNOWN = 1 << 18, 200_000
-#: States kept at each place of the lattice.
-BEAM = 24
 PREFIXES = (3, 4, 5, 6, 7)
 
 #: The letters that a sign or digit can stand for.
@@ -51,15 +51,13 @@ LOOKS_LIKE = {
 }
 SEPARATORS = frozenset(" .-_*~'`^,:;/\\")
 
-_SIGNS = re.escape("".join(LOOKS_LIKE))
 _LETTER = r"[^\W\d_]"
 _WORD = re.compile(f"{_LETTER}+")
-#: A sign between letters or before them, a letter three times, letters set apart by signs.
-_HIDDEN = re.compile(
-    rf"{_LETTER}[{_SIGNS}]{{1,3}}{_LETTER}|^[{_SIGNS}]{{1,2}}{_LETTER}{{2}}|{_LETTER}{{2}}[{re.escape('$@!013')}]{{1,2}}$|({_LETTER})\1\1|{_LETTER}(?:[._*~\-]{{1,2}}{_LETTER}(?!{_LETTER})){{2}}|{_LETTER}[*_~^]{{1,2}}{_LETTER}"
-)
-_TRIPLED = re.compile(rf"({_LETTER})\1\1")
-_APART = re.compile(r"(?<!\S)(?:\S[ .\-_*]{1,2}){3,}\S(?!\S)")
+_DOUBLED = re.compile(rf"({_LETTER})\1")
+#: Four letters or more, each set apart by one or two separators; a letter is no separator, so there is one way to read a run.
+_APART = re.compile(r"(?<!\S)(?:[^\s.\-_*][ .\-_*]{1,2}){3,}[^\s.\-_*](?!\S)")
+#: Signs around a token that belong to the sentence.
+_AROUND = ".,;:?\"'()[]"
 
 
 _STEP = 0x9E3779B97F4A7C15
@@ -99,62 +97,79 @@ def gram_counts(words: Counter) -> np.ndarray:
     return out
 
 
-@dataclass
 class Letters:
     """Character trigram model over words between marks, from hashed counts of 1-, 2- and 3-grams."""
 
-    counts: np.ndarray
-    total: float
-    known: dict[str, float] = field(default_factory=dict)
+    def __init__(self, counts: np.ndarray, total: float):
+        self.counts, self.total = counts, total
+        self.costs = Costs(self)
 
     def cost(self, before: str, c: str) -> float:
         """Minus log of the interpolated probability of c after two characters."""
-        key = before + c
-        found = self.known.get(key)
-        if found is None:
-            n = self.counts
-            one = (n[_bucket(c)] + 0.1) / (self.total + 100)
-            pair = (n[_bucket(before[1] + c)] + 2 * one) / (n[_bucket(before[1])] + 2)
-            three = (n[_bucket(key)] + 4 * pair) / (n[_bucket(before)] + 4)
-            found = -math.log(max(min(0.8 * three + 0.15 * pair + 0.05 * one, 1.0), 1e-9))
-            if len(self.known) > KNOWN:
-                self.known.clear()
-            self.known[key] = found
-        return found
+        n = self.counts
+        one = (n[_bucket(c)] + 0.1) / (self.total + 100)
+        pair = (n[_bucket(before[1] + c)] + 2 * one) / (n[_bucket(before[1])] + 2)
+        three = (n[_bucket(before + c)] + 4 * pair) / (n[_bucket(before)] + 4)
+        return -math.log(max(min(0.8 * three + 0.15 * pair + 0.05 * one, 1.0), 1e-9))
+
+
+class Costs(dict):
+    """Costs of trigrams that have been asked for, at most KNOWN of them."""
+
+    def __init__(self, letters: Letters):
+        super().__init__()
+        self.letters = letters
+
+    def __missing__(self, gram: str) -> float:
+        if len(self) > KNOWN:
+            self.clear()
+        cost = self[gram] = self.letters.cost(gram[:2], gram[2])
+        return cost
+
+    def __reduce__(self):
+        return Costs, (self.letters,)
 
 
 #: Channel costs in nats: a sign for a letter, a repeated letter, a separator left out, a word's end at a separator, a sign left out.
-SIGN, REPEAT, SKIP, BREAK, NOTHING = 1.0, 0.4, 0.2, 2.0, 5.0
+SIGN, REPEAT, SKIP, BREAK, NOTHING = 1.0, 1.5, 0.2, 2.0, 5.0
 
 
 def restore(token: str, letters: Letters) -> str:
-    """The most probable words behind a token in lower case, by Viterbi decoding of its lattice."""
+    """The most probable words behind a token in lower case, by Viterbi decoding of its lattice.
+
+    A state is the last two letters; each keeps its least cost and the path to
+    it.  Of equal costs the first found stays.
+    """
     states: dict[str, tuple[float, tuple | None]] = {"  ": (0.0, None)}
-    last = ""
+    last, costs = "", letters.costs
     for c in token:
+        letter_itself = c.isalpha()
+        if letter_itself and c != last and len(states) == 1:  # nothing to choose
+            ((state, (cost, path)),) = states.items()
+            states, last = {state[1] + c: (cost + costs[state + c], (path, c))}, c
+            continue
         after: dict[str, tuple[float, tuple | None]] = {}
-
-        def offer(state: str, cost: float, path) -> None:
-            if state not in after or cost < after[state][0]:
-                after[state] = (cost, path)  # noqa: B023
-
+        stands_for = c if letter_itself else LOOKS_LIKE.get(c, "")
+        sign = 0.0 if letter_itself else SIGN
+        apart = c in SEPARATORS
         for state, (cost, path) in states.items():
-            if c.isalpha():
-                offer(state[1] + c, cost + letters.cost(state, c), (path, c))
-                if c == last and state[1] == c:
-                    offer(state, cost + REPEAT, path)
-            else:
-                for letter in LOOKS_LIKE.get(c, ""):
-                    offer(state[1] + letter, cost + SIGN + letters.cost(state, letter), (path, letter))
-                    if c == last and state[1] == letter:
-                        offer(state, cost + REPEAT, path)
-                offer(state, cost + (SKIP if c in SEPARATORS else NOTHING), path)
-                if c in SEPARATORS and state[1] != " ":
-                    offer("  ", cost + BREAK + letters.cost(state, " "), (path, " "))
-        if len(after) > BEAM:
-            after = dict(sorted(after.items(), key=lambda s: (s[1][0], s[0]))[:BEAM])
+            end = state[1]
+            for letter in stands_for:
+                new, total = end + letter, cost + sign + costs[state + letter]
+                if new not in after or total < after[new][0]:
+                    after[new] = (total, (path, letter))
+            if c == last and end in stands_for and (state not in after or cost + REPEAT < after[state][0]):
+                after[state] = (cost + REPEAT, path)
+            if not letter_itself:
+                total = cost + (SKIP if apart else NOTHING)
+                if state not in after or total < after[state][0]:
+                    after[state] = (total, path)
+                if apart and end != " ":
+                    total = cost + BREAK + costs[state + " "]
+                    if "  " not in after or total < after["  "][0]:
+                        after["  "] = (total, (path, " "))
         states, last = after, c
-    _, (_, path) = min(states.items(), key=lambda s: (s[1][0] + letters.cost(s[0], " "), s[0]))
+    _, (_, path) = min(states.items(), key=lambda s: (s[1][0] + costs[s[0] + " "], s[0]))
     out: list[str] = []
     while path is not None:
         path, c = path
@@ -172,28 +187,23 @@ class Reader:
         """Distinct words of the restored text."""
         if not text:
             return set()
-        lower, known, out = text.lower(), self.known, set()
+        lower, known = text.lower(), self.known
         if len(known) > KNOWN:
             known.clear()
-        tripled = _TRIPLED.search(lower) is not None
-        for token in set(lower.split()):
-            if token.isalpha() and not (tripled and _TRIPLED.search(token)):
-                out.add(token)
-                continue
-            found = known.get(token)
-            if found is None:
-                found = known[token] = self._token(token)
-            out.update(found)
+        tokens = set(lower.split())
+        for token in tokens.difference(known):
+            known[token] = self._token(token)
+        out = set().union(*map(known.__getitem__, tokens))
         if self.letters:
             for m in _APART.finditer(lower):
                 out.update(restore(m[0], self.letters).split())
         return out
 
     def _token(self, token: str) -> tuple[str, ...]:
-        plain = _WORD.findall(token)
-        if self.letters and _HIDDEN.search(token):
-            return tuple(restore(token.strip(".,;:?\"'()[]"), self.letters).split())
-        return tuple(plain)
+        bare = token.strip(_AROUND)
+        if self.letters and (not bare.isalpha() or _DOUBLED.search(bare)):
+            return tuple(restore(bare, self.letters).split())
+        return tuple(_WORD.findall(bare))
 
 
 def features(word: str) -> list[str]:
@@ -214,13 +224,10 @@ class Classifier:
         def score(text: str | None) -> float:
             if len(known) > KNOWN:
                 known.clear()
-            found: set[str] = set()
-            for word in reader.words(text):
-                own = known.get(word)
-                if own is None:
-                    own = known[word] = tuple(f for f in features(word) if f in weights)
-                if own:
-                    found.update(own)
+            words = reader.words(text)
+            for word in words.difference(known):
+                known[word] = tuple(f for f in features(word) if f in weights)
+            found = set().union(*map(known.__getitem__, words))
             z = base + sum(weights[f] for f in sorted(found))
             return 1 / (1 + math.exp(-max(min(z, 500.0), -500.0)))
 
@@ -314,8 +321,9 @@ def train(
     total = {r.toxic: r["count"] for r in chosen.groupBy("toxic").count().collect()}
     ratio = ((F.col("n1") + 0.5) / (total.get(1, 0) + 1)) / ((F.col("n0") + 0.5) / (total.get(0, 0) + 1))
     table = by_batch(rows, count, "f string, n1 long, n0 long").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    best = table.where(F.col("n1") >= 3).withColumn("r", F.log(ratio)).where("r > 1").orderBy(F.desc(F.col("n1") * F.col("r")), "f").limit(FEATURES)
-    names = {r.f: i for i, r in enumerate(best.select("f").collect())}
+    best = table.where(F.col("n1") >= 3).withColumn("r", F.log(ratio)).where("r > 1")
+    # bounded by the words of the chosen rows
+    names = {f: i for i, f in enumerate(sorted(r.f for r in best.select("f").collect()))}
     if not names:
         return Classifier({}, math.log(share / (1 - share)), letters)
 
