@@ -11,12 +11,13 @@ to the lower order; looking up is a binary search.
 
 A text goes to the language with the least cross-entropy a character.  The score
 is a softmax over the languages of the cross-entropies times the number of
-characters (no more than ``SURE``), with a temperature fitted on labelled rows
-that the counts leave out; a text is rejected if its score, or its
+characters, with a temperature fitted on labelled rows that the counts leave out;
+a text is rejected if its score, or its
 cross-entropy, is worse than that of nearly all those rows.
 
 Training takes at most about ``sample`` whole rows a language, chosen by a hash
-of the id; rows that are held out never are.  Scoring reads whole texts.
+of the id; rows that are held out never are.  The sample alone bounds the models:
+all its n-grams are counted, by Spark, and all are kept.  Scoring reads whole texts.
 
 Nulls and odd inputs: a null or empty text, or one without a letter, is ``und``
 with score 0; an unseen character costs the uniform share; rows with a null
@@ -39,13 +40,11 @@ from pyspark.sql import functions as F
 from .common import by_batch, held_out, stored
 
 ORDER = 4
-#: Rows a language that the models learn from, about, and letters of one text that make a decision sure.
-SAMPLE, SURE = 1500, 400
+#: Rows a language that the models learn from, about.
+SAMPLE = 1500
 UND = "und"
 #: Words whose costs a worker keeps at most, but for those of one batch.
 KNOWN = 150_000
-#: N-grams of one language and order that a model keeps: the most frequent.
-KEEP = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -266,7 +265,7 @@ class Scorer:
             return UND, 0.0, 0.0, True
         own = self.own
         best = int(each.argmin())
-        scaled = -(each - each[best]) * min(n, SURE) / own.temperature
+        scaled = -(each - each[best]) * n / own.temperature
         score = float(1 / np.exp(scaled).sum())
         return own.models[best].name, score, float(each[best]), score < own.least_score or float(each[best]) > own.most_entropy
 
@@ -274,8 +273,8 @@ class Scorer:
 def train(docs: DataFrame, *, order: int = ORDER, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Identifier:
     """Models and calibration from labelled rows that are not held out.
 
-    The counts are summed by Spark; the driver gets at most ``KEEP`` n-grams a
-    language and order, and the calibration rows' entropies (a tenth of the sample).
+    The counts are summed by Spark; the driver gets the n-grams of the sample, and
+    the calibration rows' entropies (a tenth of the sample).
     """
     rows = docs.where(F.col(lang).isNotNull() & ~held_out(doc_id)).select(F.col(lang).cast("string").alias("lang"), F.col(doc_id).cast("string").alias("id"), F.col(text).cast("string").alias("text"))
     sizes = rows.groupBy("lang").count()
@@ -294,35 +293,16 @@ def train(docs: DataFrame, *, order: int = ORDER, sample: int = SAMPLE, doc_id:
 
     counted = by_batch(chosen.where("not check").select("lang", "text"), make, "lang string, gram string, n long")
     counted = stored(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langid-counts")
-    size = F.length("gram").alias("k")
-    bars = _bars(counted.groupBy("lang", size, "n").count().collect())
-    if not bars:
-        return Identifier([])
-    # bounded: KEEP n-grams a language and order
-    table = counted.sparkSession.createDataFrame([(*k, v) for k, v in bars.items()], "lang string, k int, bar long")
-    kept = counted.withColumn("k", F.length("gram")).join(F.broadcast(table), ["lang", "k"]).where("n >= bar")
     grams: dict[str, dict[str, int]] = {}
-    for r in kept.select("lang", "gram", "n").toLocalIterator():
+    for r in counted.toLocalIterator():
         grams.setdefault(r.lang, {})[r.gram] = r.n
+    if not grams:
+        return Identifier([])
     alphabet = len({g for own in grams.values() for g in own if len(g) == 1}) + 1
     models = [kneser_ney(name, dict(sorted(grams[name].items())), order, alphabet) for name in sorted(grams)]
     return calibrate(Identifier(models), chosen.where("check").select("lang", "text"))
 
 
-def _bars(rows: list) -> dict[tuple[str, int], int]:
-    """For each language and order the least count that leaves at most KEEP n-grams, from a histogram of the counts."""
-    bars: dict[tuple[str, int], int] = {}
-    left: dict[tuple[str, int], int] = {}
-    for r in sorted(rows, key=lambda r: -r.n):
-        key = (r.lang, r.k)
-        left[key] = left.get(key, KEEP) - r["count"]
-        if left[key] >= 0 or key not in bars:
-            bars[key] = r.n
-        if left[key] < 0:
-            left[key] = -KEEP - 1
-    return bars
-
-
 def calibrate(own: Identifier, rows: DataFrame) -> Identifier:
     """Temperature of least log-loss on the rows, and bounds that nearly all of them meet."""
     names = [m.name for m in own.models]
@@ -344,14 +324,14 @@ def calibrate(own: Identifier, rows: DataFrame) -> Identifier:
         return own
     truth = np.array([f.truth for f in found])
     each = np.array([f.each for f in found])
-    size = np.minimum(np.array([f.n for f in found]), SURE)[:, None]
+    size = np.array([f.n for f in found])[:, None]
 
     def scores(t: float) -> np.ndarray:
         scaled = -(each - each.min(axis=1, keepdims=True)) * size / t
         e = np.exp(scaled)
         return e / e.sum(axis=1, keepdims=True)
 
-    grid = [2.0**k for k in np.arange(-2, 9, 0.5)]
+    grid = [2.0**k for k in np.arange(-2, 13, 0.5)]
     at = np.arange(len(truth))
     own.temperature = min(grid, key=lambda t: -np.log(np.maximum(scores(t)[at, truth], 1e-12)).mean())
     right = each.argmin(axis=1) == truth
