@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..sources import scratch as folders
 from ..sources.scratch import forget, scratch
@@ -18,8 +19,8 @@ __all__ = ["BATCH_ROWS", "SPACE", "WORD", "by_batch", "forget", "held_out", "hot
 #: A word is a run of anything but space and the ASCII control white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
-#: Rows of text in one Arrow batch: bounds a Python worker's memory.
-BATCH_ROWS = 256
+#: Rows and bytes in one Arrow batch: they bound a Python worker's memory, but for a single longer row.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
 
 #: Bytes for each core up to which a table of few files is dealt out anew.
@@ -105,17 +106,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return (crc % 3) == 1
 
 
-def by_batch(df: DataFrame, make, schema: str) -> DataFrame:
+def by_batch(df: DataFrame, make, schema: str | StructType) -> DataFrame:
     """mapInArrow with a function that is built once in each task.
 
     ``make()`` returns a function from a RecordBatch to a dict of columns with
     the names of ``schema`` (or to None for no rows); after a task's batches it
     is called with None if it has an attribute ``last``.  Texts vary from a word to
-    megabytes, so the session's batches are set to BATCH_ROWS rows.
+    megabytes, so the session's batches are set to BATCH_ROWS rows and BATCH_BYTES
+    bytes (Spark reads these settings when it plans, so they stay set).
     """
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    arrow = to_arrow_schema(schema if isinstance(schema, StructType) else spark.createDataFrame([], schema).schema)
 
     def column(values, kind: pa.DataType) -> pa.Array:
         if isinstance(values, pa.Array):

@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .common import by_batch, held_out
 
@@ -358,5 +359,4 @@ def score_toxicity(docs: DataFrame, model: Classifier, *, threshold: float = 0.7
 
         return work
 
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return by_batch(docs, make, ", ".join([*kept, "toxic_score double", "toxic_predicted int"]))
+    return by_batch(docs, make, StructType([*docs.schema.fields, StructField("toxic_score", DoubleType()), StructField("toxic_predicted", IntegerType())]))

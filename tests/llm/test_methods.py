@@ -406,9 +406,3 @@ def test_pipeline_stages(spark, sf_dir):
         if name == "sentencepiece":
             assert after.count() == rows.count()
         rows = after
-
-
-def test_run_gives_what_the_stages_give(spark, sf_dir):
-    got = corpus_pipeline.run(spark, sf_dir)
-    assert set(got.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"}
-    assert got.where("n_tokens <> size(ids)").count() == 0
