@@ -9,8 +9,8 @@ from ..functions.bytes import fnv1a64
 from ..operators import census as ops
 from ..sources.images import geometry, pages, text_images
 
-#: Bytes of a page of a text image, of a stride, and of the images that the SQL twin folds.
-TEXT_PAGE, STRIDE, FOLDED = 64, 128, 400
+#: Bytes of a page of a text image, and of a stride.
+TEXT_PAGE, STRIDE = 64, 128
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +115,7 @@ def image_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fnv1a64_per_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """64-bit FNV-1a of every whole image (the SQL twin has only those of up to FOLDED bytes)."""
+    """64-bit FNV-1a of every whole image; a fold over bytes, which SQL has no fast form of: held against plain Python."""
     return images(spark, sf_dir).select("image_id", fnv1a64(F.col("content")).alias("fnv1a64"))
 
 
@@ -164,12 +164,10 @@ SQL = {
       SELECT image_id, page, CASE WHEN l IS NULL THEN 'right_only' WHEN r IS NULL THEN 'left_only' ELSE 'changed' END AS status,
         CASE WHEN l IS NOT NULL AND r IS NOT NULL THEN len(spots)::INT END AS n_diff, list_min(spots)::INT AS first_diff, list_max(spots)::INT AS last_diff FROM g""",
     "image_sha256": f"WITH {D} SELECT image_id, sha256(b) AS sha256, length, true AS same FROM d WHERE length > 0",
-    "fnv1a64_per_image": f"""WITH {D}, e AS (SELECT image_id, list_transform(range(0, length), lambda o: ('0x' || substr(hex(b), 2 * o + 1, 2))::UHUGEINT) AS v FROM d WHERE length <= {FOLDED})
-      SELECT image_id, lower(printf('%016x', list_reduce(list_prepend(14695981039346656037::UHUGEINT, v), lambda h, x: (xor(h, x) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT)) AS fnv1a64 FROM e""",
     "probe_scan": f"""WITH {D}, g AS (SELECT *, (length + {TEXT_PAGE} - 1) // {TEXT_PAGE} AS n FROM d), c AS (SELECT *, CASE WHEN length > 4096 THEN 'scan_byte_limit_exceeded' WHEN n > 40 THEN 'scan_page_limit_exceeded' END AS error_code FROM g)
       SELECT image_id, error_code, CASE WHEN error_code IS NULL THEN n * {TEXT_PAGE} + n END AS work_units FROM c""",
-    "mask_records": f"""WITH {_PAIRS}, o AS (SELECT image_id, list_filter(range(0, least(length(l), length(r)) // 2), lambda o: substr(l, 2 * o + 1, 2) <> substr(r, 2 * o + 1, 2)) AS spots FROM q WHERE page = 0 AND l <> r)
-      SELECT image_id, len(spots)::BIGINT AS bit_count, list_min(spots)::INT AS first_off, list_max(spots)::INT AS last_off,
+    "mask_records": f"""WITH {_PAIRS}, o AS (SELECT image_id, page, list_filter(range(0, least(length(l), length(r)) // 2), lambda o: substr(l, 2 * o + 1, 2) <> substr(r, 2 * o + 1, 2)) AS spots FROM q WHERE l <> r)
+      SELECT image_id, page, len(spots)::BIGINT AS bit_count, list_min(spots)::INT AS first_off, list_max(spots)::INT AS last_off,
         list_aggregate(list_transform(range(0, {TEXT_PAGE // 8}), lambda b: lower(printf('%02x', list_sum(list_transform(list_filter(spots, lambda o: o // 8 = b), lambda o: (1 << (o % 8)::INT)::BIGINT) || [0::BIGINT])::BIGINT))), 'string_agg', '') AS mask
       FROM o WHERE len(spots) > 0""",
 }

@@ -151,7 +151,9 @@ def _last(strips: DataFrame) -> DataFrame:
     return strips.select("page", "off", "n", at(F.regexp_instr(back, F.lit("[\\x80-\\xff]"))).alias("top"), at(F.instr(back, "!")).alias("used"))
 
 
-_BYTES = "d AS (SELECT doc_id AS page, hex(encode(coalesce(text, ''))) AS h FROM documents WHERE doc_id % 20 = 0), b AS (SELECT page, off::INT AS off, ('0x' || substr(h, 2 * off + 1, 2))::INT AS v FROM (SELECT page, h, unnest(range(0, least(length(h) // 2, 256))) AS off FROM d))"
+#: DuckDB: every byte of every text.
+_BYTES = """d AS (SELECT doc_id AS page, hex(encode(coalesce(text, ''))) AS h FROM documents),
+  b AS (SELECT page, off::INT AS off, ('0x' || substr(h, 2 * off + 1, 2))::INT AS v FROM (SELECT page, h, unnest(range(0, length(h) // 2)) AS off FROM d))"""
 
 
 def prefix_sum_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,8 +289,8 @@ SQL = {
     "prefix_sum_intervals": f"""WITH {_BYTES}, s AS (SELECT page, off, sum((v = 32)::INT) OVER (PARTITION BY page ORDER BY off)::BIGINT AS flag_upto, sum((v = 32)::INT) OVER (PARTITION BY page ORDER BY off ROWS BETWEEN 31 PRECEDING AND CURRENT ROW)::BIGINT AS in_interval FROM b) SELECT * FROM s""",
     "last_changed_offsets": f"""WITH {_BYTES}, t AS (SELECT *, max(off) FILTER (v > 127) OVER (PARTITION BY page) AS top FROM b)
       SELECT page, off, CASE WHEN top >= off THEN top ELSE -1 END AS last_from, CASE WHEN top >= off THEN top + 1 END AS suffix_start FROM t""",
-    "suffix_slack": f"""WITH {_BYTES}, t AS (SELECT page, max(off) FILTER (v > 127) AS top, max(off) FILTER (v = 33) AS bad FROM b GROUP BY page)
-      SELECT page, CASE WHEN top IS NULL OR coalesce(bad > top, false) THEN 0 ELSE 255 - top END::BIGINT AS slack FROM t""",
+    "suffix_slack": f"""WITH {_BYTES}, t AS (SELECT page, count(*) AS n, max(off) FILTER (v > 127) AS top, max(off) FILTER (v = 33) AS bad FROM b GROUP BY page)
+      SELECT page, CASE WHEN top IS NULL OR coalesce(bad > top, false) THEN 0 ELSE n - 1 - top END::BIGINT AS slack FROM t""",
     "single_change_point": """WITH v AS (SELECT user_id AS page, ts::DATE AS day, max(value) > 10 AS high FROM events GROUP BY 1, 2)
       SELECT page, datediff('day', DATE '1970-01-01', min(day) FILTER (high))::INT AS first FROM v GROUP BY page HAVING count(*) FILTER (high) > 0 AND count(*) FILTER (NOT high) > 0 AND min(day) FILTER (high) > max(day) FILTER (NOT high)""",
     "growth_targets": """WITH s AS (SELECT r AS replica, o AS ordinal, o * 13 + r * 5 AS page_count FROM range(1, 4) a(r), range(0, 200) b(o)), t AS (SELECT i * 512 AS threshold FROM range(1, 5) c(i))

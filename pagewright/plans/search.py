@@ -163,10 +163,9 @@ SQL = {
     "reference_edges": f"WITH {_SLOTS} SELECT r::INT AS replica, k::INT AS ordinal, slot::INT AS slot, ref::BIGINT AS ref, CASE WHEN ref >= 7 THEN 'reference_out_of_range' WHEN ref % 3 <> 1 THEN 'not_an_extended_bitmap' END AS error_code FROM s",
     "surviving_formulas": f"WITH {_SURVIVORS} SELECT r::INT AS replica, formula FROM z",
     "predicted_page_counts": f"WITH {_BITS} SELECT r::INT AS replica, 'c' || k AS checkpoint, formula, count(*) AS n, min(page)::BIGINT AS low, max(page)::BIGINT AS high FROM f GROUP BY 1, 2, 3",
-    "incremental_capture": f"""WITH {P}, o AS (SELECT page, x FROM p WHERE image_id = (SELECT max(doc_id) FROM documents)),
-      s AS (SELECT page, length(x) // 2 AS n, page % 5 <> 3 AS now, page % 7 <> 2 AS was, page % 4 = 1 AS moved FROM o WHERE page % 5 <> 3 OR page % 7 <> 2),
-      t AS (SELECT page, n, moved, CASE WHEN NOT now THEN 'removed' WHEN NOT was THEN 'added' WHEN moved THEN 'changed' ELSE 'unchanged' END AS status FROM s)
-      SELECT page, status, CASE WHEN status IN ('added', 'changed') THEN (n + moved::INT)::INT END AS n_bytes FROM t""",
-    "opened_blobs": f"""WITH {P}, dd AS (SELECT image_id, page, length(x) // 2 AS n, sha256(unhex(x)) < '2' AS bad FROM p WHERE page IN (0, 2))
+    "incremental_capture": f"""WITH {P}, s AS (SELECT image_id, page, length(x) // 2 AS n, page % 5 <> 3 AS now, page % 7 <> 2 OR page % 5 = 3 AS was, page % 4 = 1 AS moved FROM p),
+      t AS (SELECT image_id, page, n, moved, CASE WHEN NOT now THEN 'removed' WHEN NOT was THEN 'added' WHEN moved THEN 'changed' ELSE 'unchanged' END AS status FROM s)
+      SELECT image_id, page, status, CASE WHEN status IN ('added', 'changed') THEN (n + moved::INT)::INT END AS n_bytes FROM t""",
+    "opened_blobs": f"""WITH {P}, dd AS (SELECT image_id, page, length(x) // 2 AS n, sha256(unhex(x)) < '2' AS bad FROM p)
       SELECT image_id::INT AS ordinal, page, CASE WHEN NOT bad THEN n::INT END AS n_bytes, CASE WHEN bad THEN 'unreconstructable_snapshot' END AS error_code FROM dd""",
 }

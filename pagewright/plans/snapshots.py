@@ -133,11 +133,11 @@ SQL = {
     "row_order_errors": "WITH l AS (SELECT p_partkey AS position, p_name, p_type, lag(p_name) OVER w AS a, lag(p_type) OVER w AS b FROM part WINDOW w AS (ORDER BY p_partkey)) SELECT position, 'non_canonical_order' AS error_code FROM l WHERE a > p_name OR a = p_name AND b > p_type",
     "named_order_errors": """WITH l AS (SELECT n_regionkey AS region, n_name AS name, n_nationkey AS position, lag(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS b FROM nation)
       SELECT region, name, position, CASE WHEN b > name THEN 'non_canonical_order' WHEN b = name THEN 'duplicate' END AS error_code FROM l""",
-    "snapshot_deep_diff": """WITH p AS (SELECT *, p_partkey % 17 <> 3 AS there, p_partkey % 10 = 1 AS moved FROM part WHERE p_partkey < 100),
+    "snapshot_deep_diff": """WITH p AS (SELECT *, p_partkey % 17 <> 3 AS there, p_partkey % 10 = 1 AS moved FROM part),
       c AS (SELECT '/part/' || p_partkey || '/' || c AS path, c, there, moved FROM p, (VALUES ('p_name'), ('p_size'), ('p_type')) v(c)),
-      d AS (SELECT path, path IN ('/part/11/p_size', '/part/12/p_size') AS allowed, CASE WHEN NOT there THEN 'key_difference' WHEN path LIKE '%9/p_name' THEN 'type_difference' WHEN c = 'p_size' AND moved THEN 'value_difference' END AS code FROM c)
+      d AS (SELECT path, path IN ('/part/11/p_size', '/part/12/p_size', '/part/999/p_size') AS allowed, CASE WHEN NOT there THEN 'key_difference' WHEN path LIKE '%9/p_name' THEN 'type_difference' WHEN c = 'p_size' AND moved THEN 'value_difference' END AS code FROM c)
       SELECT path, CASE WHEN allowed THEN 'allowed_difference_not_observed' ELSE code END AS error_code FROM d WHERE (allowed AND code IS NULL) OR (NOT allowed AND code IS NOT NULL)
-      UNION ALL SELECT '/part/999/p_size', 'allowed_difference_not_observed'""",
+      UNION ALL SELECT '/part/999/p_size', 'allowed_difference_not_observed' WHERE 999 NOT IN (SELECT p_partkey FROM part)""",
     "typed_value_errors": """WITH k AS (SELECT o_orderkey AS k FROM orders), t AS (
         SELECT 'byte' AS kind, CASE WHEN k % 300 > 255 THEN 'out_of_range' END AS error_code FROM k UNION ALL SELECT 'integer', CASE WHEN k * 5 - 300 > 32767 THEN 'out_of_range' END FROM k UNION ALL SELECT 'text', NULL FROM k
         UNION ALL SELECT 'boolean', CASE WHEN k % 4 = 0 THEN 'not_boolean' END FROM k UNION ALL SELECT 'decimal', 'not_decimal' FROM k UNION ALL SELECT 'guid', NULL FROM k

@@ -5,8 +5,12 @@ import pytest
 from pagewright.plans import registry
 
 
+#: Queries that SQL can't express at whole texts; test_whole.py holds them against plain Python.
+NO_SQL = {"fnv1a64_per_image"}
+
+
 def test_every_query_has_sql():
-    assert sorted(registry.QUERIES) == sorted(registry.SQL)
+    assert sorted(set(registry.QUERIES) - NO_SQL) == sorted(registry.SQL)
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
