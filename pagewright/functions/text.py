@@ -50,6 +50,13 @@ def canonical_single(value: pd.Series) -> pd.Series:
     return value.map(lambda x: _spell(x, True))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def canonical_numbers(kinds: pd.Series, values: pd.Series) -> pd.Series:
+    """Of arrays of kinds and values the canonical text of singles and doubles, null for others."""
+    spell = lambda k, v: _spell(float(v), k == "single") if k in ("single", "double") and v is not None else None
+    return pd.Series([None if ks is None else [spell(k, v) for k, v in zip(ks, vs, strict=True)] for ks, vs in zip(kinds, values, strict=True)])
+
+
 def pointer_token(value: Column) -> Column:
     """A key as a token of a JSON pointer."""
     return F.replace(F.replace(value, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))

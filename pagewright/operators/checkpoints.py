@@ -36,7 +36,7 @@ def changed_pages(page_index: DataFrame) -> DataFrame:
     # a checkpoint after the last, or before the first, has no predecessor to differ from
     known = page_index.select("replica", "ordinal").distinct()
     pairs = known.alias("a").join(known.select("replica", (F.col("ordinal") + 1).alias("ordinal")), ["replica", "ordinal"])
-    both = now.join(was, ["replica", "ordinal", "page"], "full").join(F.broadcast(pairs), ["replica", "ordinal"], "left_semi")
+    both = now.join(was, ["replica", "ordinal", "page"], "full").join(pairs, ["replica", "ordinal"], "left_semi")
     status = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("changed")
     return both.where(~F.col("now").eqNullSafe(F.col("was"))).select("replica", "ordinal", "page", status.alias("status"))
 
@@ -241,7 +241,7 @@ def surviving_formulas(predicted: DataFrame, counts: DataFrame, growth: Transiti
     steps = F.broadcast(predicted.sparkSession.range(1).select(F.explode(table).alias("s")).select("s.*"))
     sizes = counts.select("replica", "checkpoint", "page_count")
     spans = steps.join(sizes.toDF("replica", "before", "n_before"), "before").join(sizes.toDF("replica", "after", "n_after"), ["replica", "after"])
-    now = predicted.withColumnRenamed("checkpoint", "after").join(F.broadcast(spans), ["replica", "after"])
+    now = predicted.withColumnRenamed("checkpoint", "after").join(spans, ["replica", "after"])
     was = predicted.select("replica", F.col("checkpoint").alias("before"), "formula", "page")
     fresh = now.join(was, ["replica", "before", "formula", "page"], "left_anti")
     per = fresh.groupBy("replica", "before", "after", "n_before", "n_after", "formula").agg(
@@ -297,6 +297,12 @@ def suffix_slack(table: DataFrame, page_size: Column | int, *keys: str) -> DataF
     )
 
 
+def interval_count(length: Column) -> Column:
+    """How many half-open intervals, none of them empty, lie in so many bytes."""
+    n = length.cast("long")
+    return F.call_function("shiftright", n * (n + 1), F.lit(1))
+
+
 def in_use_pages(record: Column, polarity: str) -> Column:
     """Pages that an inline record says are in use: set bits, or clear ones, after its start page."""
     base = read_uint(record, 1, 4)

@@ -171,15 +171,17 @@ def compact_outcome(compact: DataFrame, created: DataFrame, version_offsets: Dat
     """
     later = compact.where(F.col("role").isin("compacted_database", "verify_database"))
     per = later.groupBy("condition", "off").agg(F.min("v").alias("a"), F.max("v").alias("b"))
-    against = per.join(created.withColumnRenamed("v", "was"), ["condition", "off"])
-    per_offset = against.groupBy("off").agg(F.bool_and((F.col("a") == F.col("b")) & (F.col("a") != F.col("was"))).alias("diverges"), F.bool_or(F.col("a") != F.col("b")).alias("unstable"))
+    # an offset without one created value agrees with nothing
+    created = created.withColumnRenamed("v", "was")
+    against = per.join(created, ["condition", "off"], "left")
+    per_offset = against.groupBy("off").agg(F.bool_and((F.col("a") == F.col("b")) & ~F.col("a").eqNullSafe(F.col("was"))).alias("diverges"), F.bool_or(F.col("a") != F.col("b")).alias("unstable"))
     shape = per_offset.agg(F.count_if("diverges").alias("n_divergent"), F.coalesce(F.bool_or("unstable"), F.lit(False)).alias("mixed"))
     replicas = compact.groupBy("condition", "role", "off").agg((F.min("v") != F.max("v")).alias("d")).agg(F.coalesce(F.bool_or("d"), F.lit(False)).alias("varied"))
-    compacted = compact.where("role = 'compacted_database'").join(created.withColumnRenamed("v", "was"), ["condition", "off"])
+    compacted = compact.where("role = 'compacted_database'").join(created, ["condition", "off"], "left")
 
     def holds(rows: DataFrame, offsets: DataFrame, name: str) -> DataFrame:
         bound = offsets.agg(F.count(F.lit(1)).alias(f"n_{name}"))
-        wrong = rows.join(F.broadcast(offsets), "off").agg(F.count_if(F.col("v") != F.col("was")).alias("w"))
+        wrong = rows.join(F.broadcast(offsets), "off").agg(F.count_if(~F.col("v").eqNullSafe(F.col("was"))).alias("w"))
         return bound.join(wrong).select(f"n_{name}", ((F.col(f"n_{name}") > 0) & (F.col("w") == 0)).alias(f"{name}_holds"))
 
     row = shape.join(replicas).join(holds(compacted, version_offsets, "version")).join(holds(compacted.where(F.col("version") == middle), encryption_offsets, "encryption"))

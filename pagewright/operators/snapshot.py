@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_double, canonical_single, has_shape, json_string, pointer_token
+from ..functions.text import canonical_double, canonical_numbers, canonical_single, has_shape, json_string, pointer_token
 
 #: The kinds of a typed value.
 KINDS = ("null", "boolean", "byte", "integer", "long", "single", "double", "decimal", "currency", "datetime", "text", "memo", "binary", "ole", "guid")
@@ -71,15 +71,16 @@ def sorted_columns(columns: DataFrame) -> DataFrame:
 def values_json(values: Column) -> Column:
     """A row's values as canonical JSON: keys sorted, no spaces, a value's own fields sorted too."""
     entries = F.array_sort(F.map_entries(values))
+    numbers = canonical_numbers(F.transform(entries, lambda e: e["value"]["kind"]), F.transform(entries, lambda e: e["value"]["value"]))
 
-    def one(e: Column) -> Column:
-        v = e["value"]
+    def one(z: Column) -> Column:
+        e, v = z["entry"], z["entry"]["value"]
         page = F.when(v["code_page"].isNotNull(), F.concat(F.lit('"code_page":'), v["code_page"].cast("string"), F.lit(","))).otherwise("")
         raw = F.when(v["raw_hex"].isNotNull(), F.concat(F.lit('"raw_hex":'), json_string(v["raw_hex"]), F.lit(","))).otherwise("")
-        plain = F.when(v["kind"] == "null", "null").when(v["kind"].isin("boolean", *RANGES), v["value"]).otherwise(json_string(v["value"]))
+        plain = F.when(v["kind"] == "null", "null").when(v["kind"].isin("boolean", *RANGES), v["value"]).when(v["kind"].isin("single", "double"), z["number"]).otherwise(json_string(v["value"]))
         return F.concat(json_string(e["key"]), F.lit(":{"), page, F.lit('"kind":'), json_string(v["kind"]), F.lit(","), raw, F.lit('"value":'), plain, F.lit("}"))
 
-    return F.concat(F.lit("{"), F.array_join(F.transform(entries, one), ","), F.lit("}"))
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.arrays_zip(entries.alias("entry"), numbers.alias("number")), one), ","), F.lit("}"))
 
 
 def ordered_rows(rows: DataFrame, canonical: Column) -> DataFrame:

@@ -101,7 +101,7 @@ def changed_byte_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_pair_outer_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that differ from the next image's, or that one of the two lacks."""
     every = text_pages(spark, sf_dir)
-    ids = every.select("image_id").distinct()
+    ids = images(spark, sf_dir).where("length > 0").select("image_id").distinct()
     left = every.join(ids.select((F.col("image_id") - 1).alias("image_id")), "image_id", "left_semi")
     right = every.withColumn("image_id", F.col("image_id") - 1).join(ids, "image_id", "left_semi")
     return ops.outer_diff(left, right, "image_id").drop("extra_bytes")

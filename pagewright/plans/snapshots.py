@@ -20,8 +20,9 @@ def _rows(parts: DataFrame, key: Column, name: str = "part") -> DataFrame:
 
 
 def canonical_row_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows by key and canonical JSON, equal ones kept: a digest of the JSON at each position."""
-    rows = _rows(_parts(spark, sf_dir), F.col("p_partkey") % 100)
+    """Rows by key and canonical JSON, numbers as they are spelled there, equal ones kept: a digest of the JSON at each position."""
+    parts = _parts(spark, sf_dir).withColumns({"p_double": F.col("p_size") * 1e14, "p_single": (F.col("p_size") / 4).cast("float")})
+    rows = ops.from_table(parts, "s", "part", F.col("p_partkey") % 100, PART_KINDS | {"p_double": "double", "p_single": "single"})
     placed = ops.ordered_rows(rows, ops.values_json(F.col("values")))
     return placed.select("canonical_key", F.col("position").cast("long").alias("position"), F.sha2("canon", 256).alias("canon_sha256"))
 
@@ -124,7 +125,8 @@ QUERIES = {
     )
 }
 
-_JSON = """'{"p_name":{"kind":"text","value":"' || p_name || '"},"p_size":{"kind":"long","value":' || p_size || '},"p_type":{"kind":"text","value":"' || p_type || '"}}'"""
+#: 1e14 times a size of 1 to 50: fixed below 1e16; a size's quarter as a single.
+_JSON = """'{"p_double":{"kind":"double","value":' || (p_size * 100000000000000) || '.0},"p_name":{"kind":"text","value":"' || p_name || '"},"p_single":{"kind":"single","value":' || (p_size // 4) || ['.0', '.25', '.5', '.75'][p_size % 4 + 1] || '},"p_size":{"kind":"long","value":' || p_size || '},"p_type":{"kind":"text","value":"' || p_type || '"}}'"""
 _PAYLOAD = "left(repeat('A1|' || {role} || '|' || {id} || '|', 240), 240)"
 
 SQL = {
