@@ -182,19 +182,29 @@ class Reader:
     """The features of whole texts: words and their beginnings, restored where they are hidden."""
 
     def __init__(self, letters: Letters | None):
-        self.letters, self.known = letters, {}
+        self.letters = letters
+        self.plain: set[str] = set()  # tokens that are read as themselves
+        self.known: dict[str, tuple[str, ...]] = {}
 
     def words(self, text: str | None) -> set[str]:
         """Distinct words of the restored text."""
         if not text:
             return set()
-        lower, known = text.lower(), self.known
-        if len(known) > KNOWN:
-            known.clear()
+        lower, plain, known = text.lower(), self.plain, self.known
+        for kept in (plain, known):
+            if len(kept) > KNOWN:
+                kept.clear()
         tokens = set(lower.split())
-        for token in tokens.difference(known):
-            known[token] = self._token(token)
-        out = set().union(*map(known.__getitem__, tokens))
+        out = tokens & plain
+        for token in tokens - plain:
+            if (found := known.get(token)) is not None:
+                out.update(found)
+            elif token.isalpha() and not _DOUBLED.search(token):
+                plain.add(token)
+                out.add(token)
+            else:
+                found = known[token] = self._token(token)
+                out.update(found)
         if self.letters:
             for m in _APART.finditer(lower):
                 out.update(restore(m[0], self.letters).split())
@@ -220,15 +230,11 @@ class Classifier:
 
     def scorer(self):
         reader, weights, base = Reader(self.letters), self.weights, self.base
-        known: dict[str, tuple[str, ...]] = {}
+        # a word that has a feature begins as one of them does
+        heads = {f.rstrip("~")[: PREFIXES[0]] for f in weights}
 
         def score(text: str | None) -> float:
-            if len(known) > KNOWN:
-                known.clear()
-            words = reader.words(text)
-            for word in words.difference(known):
-                known[word] = tuple(f for f in features(word) if f in weights)
-            found = set().union(*map(known.__getitem__, words))
+            found = {f for w in reader.words(text) if w[: PREFIXES[0]] in heads for f in features(w) if f in weights}
             z = base + sum(weights[f] for f in sorted(found))
             return 1 / (1 + math.exp(-max(min(z, 500.0), -500.0)))
 
