@@ -57,6 +57,11 @@ def parse(args: list[str]) -> dict:
     return out
 
 
+def refusal(code: str) -> str:
+    """The JSON line of a code, without a session: the codes need no escapes."""
+    return f'{{"schema_version":1,"ok":false,"error":"{code}","compatibility_established":false}}'
+
+
 def run(spark: SparkSession, options: dict) -> tuple[str, int]:
     """The JSON line and exit code of a probe."""
     try:
@@ -68,21 +73,22 @@ def run(spark: SparkSession, options: dict) -> tuple[str, int]:
             rows = rows.withColumn("error_code", F.coalesce("error_code", over))
         else:
             found = candidates(images, page_size=PAGE_SIZE, max_bytes=most)
-            rows = found.select("image_id", "kind", F.col("page_count").alias("pages_visited"), F.lit(0).alias("work_units"), F.lit("").alias("fnv1a64"), "error_code")
+            rows = found.select("image_id", "length", "kind", F.col("page_count").alias("pages_visited"), F.lit(0).alias("work_units"), F.lit(None).cast("string").alias("fnv1a64"), "error_code")
+        code = F.when(F.col("error_code") == "partial_page", "not_2k_aligned").otherwise(F.col("error_code"))
+        rows = rows.withColumn("error_code", code)
         row = probe_json(rows).join(rows.select("image_id", "error_code"), "image_id").first()
     except Exception as e:  # the path is not there or can't be read
         if "PATH_NOT_FOUND" not in str(e) and "FileNotFound" not in str(e):
             raise
-        return '{"error":"open_failed"}', 1
-    code = {"partial_page": "not_2k_aligned"}.get(row.error_code, row.error_code)
-    return (row.json if code is None else f'{{"error":"{code}"}}'), int(code is not None)
+        return refusal("open_failed"), 1
+    return row.json, int(row.error_code is not None)
 
 
 def main(args: list[str]) -> int:
     try:
         options = parse(args)
     except Usage as e:
-        print(f'{{"error":"{e}"}}', file=sys.stderr)
+        print(refusal(str(e)), file=sys.stderr)
         return 2
     if options["command"] != "probe":
         print(__doc__ if options["command"] == "--help" else "pagewright 0.1")

@@ -10,6 +10,7 @@ for those.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,11 +145,9 @@ def opened(page_index: DataFrame, blobs: DataFrame, pages: DataFrame) -> DataFra
 
 def changed_bytes(history: DataFrame, pairs: Transitions) -> DataFrame:
     """(replica, page, off): bytes that some transition changes; equal pages are left out by comparison."""
-    table = F.array(*[F.struct(F.lit(a).alias("before"), F.lit(b).alias("after")) for a, b in pairs])
-    steps = history.sparkSession.range(1).select(F.explode(table).alias("s")).select("s.*")
     left = history.select("replica", "page", F.col("checkpoint").alias("before"), F.col("raw").alias("was"))
     right = history.select("replica", "page", F.col("checkpoint").alias("after"), F.col("raw").alias("now"))
-    moved = left.join(F.broadcast(steps), "before").join(right, ["replica", "page", "after"]).where("was <> now")
+    moved = left.join(_steps(history, pairs), "before").join(right, ["replica", "page", "after"]).where("was <> now")
     return moved.select("replica", "page", F.explode(differing(F.col("was"), F.col("now"))).alias("off")).distinct()
 
 
@@ -191,11 +190,41 @@ def inline_boundaries(history: DataFrame, intervals: DataFrame, bitmap_start: Co
     return placed.where((F.col("last_v") != 0) & (F.col("rest") == 0) & (F.col("off") >= bitmap_start)).select("replica", "page", (F.col("off") + 1).alias("boundary"))
 
 
-def pointer_windows(history: DataFrame, counts: DataFrame, intervals: DataFrame, growth: Transitions, churn: Transitions) -> DataFrame:
+def explained_boundaries(history: DataFrame, counts: DataFrame, intervals: DataFrame, inline: Sequence[str], polarity: str) -> DataFrame:
+    """(replica, page, boundary, status): ends of an inline bitmap that its own page counts explain.
+
+    Up to the boundary the bitmap, at each inline checkpoint, says in use for all
+    pages of the image from the record's first page on and for no others; at
+    one of them it is full up to the boundary.  status is survives where all
+    bytes from the boundary to the interval's end are zero at every checkpoint of
+    history, suffix where some are not.
+    """
+    sized = history.join(counts.select("replica", "checkpoint", "page_count"), ["replica", "checkpoint"]).join(intervals.select("replica", "page", "start", "end"), ["replica", "page"])
+    first = F.col("start") + 5
+    bits = F.greatest(F.col("page_count").cast("long") - read_uint(F.col("raw"), F.col("start") + 1, 4), F.lit(0).cast("long"))
+    sized = sized.withColumn("bits", bits).withColumn("inline", F.col("checkpoint").isin(*inline))
+    cells = sized.select("replica", "page", "start", "end", "bits", "inline", "raw", F.explode(F.sequence(F.col("start") + 4, F.col("end") - 1)).alias("off")).withColumn("v", byte(F.col("raw"), F.col("off")))
+    left = F.least(F.greatest(F.col("bits") - (F.col("off") - first) * 8, F.lit(0).cast("long")), F.lit(8).cast("long")).cast("int")
+    wanted = F.call_function("shiftleft", F.lit(1), left) - 1
+    wanted = wanted.bitwiseXOR(255) if polarity == POLARITIES[1] else wanted
+    per = cells.groupBy("replica", "page", "start", "off").agg(
+        F.max(F.when(F.col("inline") & (F.col("off") >= first) & (F.col("v") != wanted), 1).otherwise(0)).alias("wrong"), F.max(F.when(F.col("v") != 0, 1).otherwise(0)).alias("used")
+    )
+    order = Window.partitionBy("replica", "page").orderBy("off")
+    upto, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(1, Window.unboundedFollowing)
+    per = per.withColumns({"n_wrong": F.sum("wrong").over(upto), "n_used": F.coalesce(F.sum("used").over(after), F.lit(0))})
+    full = sized.where("inline").select("replica", "page", F.col("bits").alias("capacity")).distinct()
+    found = per.where("n_wrong = 0").withColumn("capacity", ((F.col("off") - F.col("start") - 4) * 8).cast("long")).join(full, ["replica", "page", "capacity"], "left_semi")
+    return found.select("replica", "page", (F.col("off") + 1).alias("boundary"), F.when(F.col("n_used") == 0, "survives").otherwise("suffix").alias("status"))
+
+
+def pointer_windows(history: DataFrame, counts: DataFrame, intervals: DataFrame, growth: Transitions, churn: Transitions, *, outside: Transitions = (), returns: tuple[str, str, str] | None = None) -> DataFrame:
     """(replica, page, off, layout, role): four-byte windows that point into the image at every checkpoint.
 
     role is used if some growth transition changes the window and no churn
-    transition does, free the other way round.
+    transition does, free the other way round.  No transition outside those may
+    change either.  Where returns names three checkpoints, a free window differs
+    between the first two and is at the third what it was at the first.
     """
     joined = history.join(counts.select("replica", "ordinal", "page_count"), ["replica", "ordinal"]).join(intervals.select("replica", "page", "start", "end"), ["replica", "page"])
     windows = joined.where(F.col("end") - F.col("start") >= 4).select(
@@ -206,9 +235,11 @@ def pointer_windows(history: DataFrame, counts: DataFrame, intervals: DataFrame,
     rows = windows.select("replica", "page", "checkpoint", "page_count", "off", "w", layouts).select("*", "p.layout", "p.at").drop("p")
     at = lambda n: F.max(F.when(F.col("checkpoint") == n, F.col("w")))
     moves = lambda pairs: F.greatest(F.lit(False), F.lit(False), *[F.coalesce(at(a) != at(b), F.lit(False)) for a, b in pairs])
-    per = rows.groupBy("replica", "page", "off", "layout").agg(F.bool_and((F.col("at") >= 1) & (F.col("at") < F.col("page_count"))).alias("inside"), moves(growth).alias("grows"), moves(churn).alias("churns"))
-    role = F.when(F.col("grows") & ~F.col("churns"), "used").when(F.col("churns") & ~F.col("grows"), "free")
-    return per.where("inside").withColumn("role", role).where("role is not null").select("replica", "page", "off", "layout", "role")
+    back = F.coalesce((at(returns[0]) != at(returns[1])) & (at(returns[0]) == at(returns[2])), F.lit(False)) if returns else F.lit(True)
+    inside = F.bool_and((F.col("at") >= 1) & (F.col("at") < F.col("page_count")))
+    per = rows.groupBy("replica", "page", "off", "layout").agg(inside.alias("inside"), moves(growth).alias("grows"), moves(churn).alias("churns"), moves(outside).alias("strays"), back.alias("back"))
+    role = F.when(F.col("grows") & ~F.col("churns"), "used").when(F.col("churns") & F.col("back") & ~F.col("grows"), "free")
+    return per.where("inside and not strays").withColumn("role", role).where("role is not null").select("replica", "page", "off", "layout", "role")
 
 
 def slot_references(history: DataFrame, record_start: int, record_end: int) -> DataFrame:
@@ -231,14 +262,52 @@ def predicted_pages(edges: DataFrame) -> DataFrame:
     return bits.select("*", formulas).select("replica", "checkpoint", "ordinal", "formula", (extended_base(F.col("formula"), F.col("slot"), F.col("ref")) + F.col("bit")).alias("page"))
 
 
+def _steps(df: DataFrame, pairs: Transitions) -> DataFrame:
+    """The transitions as a table (before, after); the caller's list bounds it."""
+    table = F.array(*[F.struct(F.lit(a).alias("before"), F.lit(b).alias("after")) for a, b in pairs])
+    return F.broadcast(df.sparkSession.range(1).select(F.explode(table).alias("s")).select("s.*"))
+
+
+def strict_formulas(edges: DataFrame, counts: DataFrame, growth: Transitions) -> DataFrame:
+    """(replica, formula) whose newly set bits stand for just the appended pages, in every growth transition.
+
+    A bit is new if its slot had it not before the transition; the pages of the
+    new bits and the appended pages must be the same set, none where none was
+    appended.
+    """
+    bits = edges.where("error_code is null").select("replica", "checkpoint", "slot", "ref", F.explode(set_bits(F.col("raw"), skip=EXTENDED_HEADER)).alias("bit"))
+    steps = _steps(edges, growth)
+    now = bits.withColumnRenamed("checkpoint", "after").join(steps, "after")
+    was = bits.select("replica", F.col("checkpoint").alias("before"), "slot", "bit")
+    formulas = F.explode(F.array(*map(F.lit, BASE_FORMULAS))).alias("formula")
+    fresh = now.join(was, ["replica", "before", "slot", "bit"], "left_anti").select("*", formulas)
+    fresh = fresh.select("replica", "before", "after", "formula", (extended_base(F.col("formula"), F.col("slot"), F.col("ref")) + F.col("bit")).alias("page"))
+    per = fresh.groupBy("replica", "before", "after", "formula").agg(F.count_distinct("page").alias("n"), F.min("page").alias("low"), F.max("page").alias("high"))
+    sizes = counts.select("replica", "checkpoint", "page_count")
+    spans = steps.join(sizes.toDF("replica", "before", "n_before"), "before").join(sizes.toDF("replica", "after", "n_after"), ["replica", "after"]).select("*", formulas)
+    both = spans.join(per, ["replica", "before", "after", "formula"], "left")
+    grown = F.greatest(F.col("n_after") - F.col("n_before"), F.lit(0))
+    n = F.coalesce("n", F.lit(0))
+    exact = (n == grown) & ((n == 0) | ((F.col("low") >= F.col("n_before")) & (F.col("high") < F.col("n_after"))))
+    return both.groupBy("replica", "formula").agg(F.bool_and(exact).alias("exact")).where("exact").select("replica", "formula")
+
+
+def covering_formulas(predicted: DataFrame, inline_pages: DataFrame, conversion: str) -> DataFrame:
+    """(replica, formula) whose pages at the conversion take in all pages (replica, page) of the inline record before it."""
+    formulas = F.explode(F.array(*map(F.lit, BASE_FORMULAS))).alias("formula")
+    wanted = inline_pages.select("replica", "page").distinct().select("replica", "page", formulas)
+    missing = wanted.join(predicted.where(F.col("checkpoint") == conversion).select("replica", "formula", "page"), ["replica", "formula", "page"], "left_anti").select("replica", "formula").distinct()
+    every = predicted.select("replica").unionByName(inline_pages.select("replica")).distinct().select("replica", formulas)
+    return every.join(missing, ["replica", "formula"], "left_anti")
+
+
 def surviving_formulas(predicted: DataFrame, counts: DataFrame, growth: Transitions) -> DataFrame:
     """(replica, formula) whose newly set pages are just the appended ones in each growth transition.
 
     Where as many bits are new as pages were appended the two sets must be
     equal; elsewhere every new page must lie inside the image.
     """
-    table = F.array(*[F.struct(F.lit(a).alias("before"), F.lit(b).alias("after")) for a, b in growth])
-    steps = F.broadcast(predicted.sparkSession.range(1).select(F.explode(table).alias("s")).select("s.*"))
+    steps = _steps(predicted, growth)
     sizes = counts.select("replica", "checkpoint", "page_count")
     spans = steps.join(sizes.toDF("replica", "before", "n_before"), "before").join(sizes.toDF("replica", "after", "n_after"), ["replica", "after"])
     now = predicted.withColumnRenamed("checkpoint", "after").join(spans, ["replica", "after"])
@@ -257,12 +326,13 @@ def surviving_formulas(predicted: DataFrame, counts: DataFrame, growth: Transiti
     return every.join(failed, ["replica", "formula"], "left_anti")
 
 
-def d_flags(empty: Column, grown: Column, dropped: Column, regrown: Column, polarity: str) -> dict[str, Column]:
-    """What one byte says at four checkpoints: growth, bits not released, bits not taken again, further bits."""
+def d_flags(empty: Column, grown: Column, dropped: Column, regrown: Column, polarity: str, recreated: Column | None = None) -> dict[str, Column]:
+    """What one byte says at four checkpoints: growth, bits not released, bits not taken again, further bits; at a fifth, bits not released then."""
     if polarity == POLARITIES[1]:
         empty, grown, dropped, regrown = (c.bitwiseXOR(255) for c in (empty, grown, dropped, regrown))
+        recreated = None if recreated is None else recreated.bitwiseXOR(255)
     gained = grown.bitwiseAND(empty.bitwiseXOR(255))
-    return {
+    return ({} if recreated is None else {"recreate_violation": gained.bitwiseAND(recreated) != 0}) | {
         "growth": gained != 0,
         "release_violation": gained.bitwiseAND(dropped) != 0,
         "regrowth_violation": gained.bitwiseAND(regrown.bitwiseXOR(255)) != 0,
@@ -309,15 +379,18 @@ def in_use_pages(record: Column, polarity: str) -> Column:
     return F.transform(set_bits(record, clear=polarity == POLARITIES[1], skip=5), lambda b: base + b)
 
 
-def record_relations(history: DataFrame, names: tuple[str, str, str, str], page_size: int = PAGE_SIZE) -> DataFrame:
+def record_relations(history: DataFrame, names: tuple[str, str, str, str], page_size: int = PAGE_SIZE, *, recreated: str | None = None) -> DataFrame:
     """(replica, page, start, polarity, slack) of the record starts whose bitmap behaves as an allocation map's.
 
     The byte at the start is 0 and the four after it are the same at all four
     checkpoints; in the bitmap after them some bit is taken on growth, all those
     are released on drop and taken again on regrowth, and more are taken then.
-    Predicates over the rest of a page are differences of prefix sums.
+    Predicates over the rest of a page are differences of prefix sums.  With a
+    fifth checkpoint, recreated, the taken bits must be released there too and
+    the first bytes be the same there.
     """
     empty, grown, dropped, regrown = names
+    names = (*names, recreated) if recreated else names
     one = lambda n: F.max(F.when(F.col("checkpoint") == n, F.col("raw"))).alias(n)
     wide = history.groupBy("replica", "page").agg(*[one(n) for n in names])
     at = {n: byte(F.col(f"`{n}`"), F.col("off")) for n in names}
@@ -325,9 +398,9 @@ def record_relations(history: DataFrame, names: tuple[str, str, str, str], page_
     vs = {n: F.col(f"`{n}`") for n in names}
     out = None
     for polarity in POLARITIES:
-        flags = d_flags(vs[empty], vs[grown], vs[dropped], vs[regrown], polarity)
+        flags = d_flags(vs[empty], vs[grown], vs[dropped], vs[regrown], polarity, vs[recreated] if recreated else None)
         unused = 0 if polarity == POLARITIES[0] else 255
-        same = (vs[empty] == vs[grown]) & (vs[grown] == vs[dropped]) & (vs[dropped] == vs[regrown])
+        same = reduce(lambda a, b: a & b, [vs[empty] == vs[n] for n in names[1:]])
         table = rows.select("replica", "page", "off", (same & (vs[empty] == 0)).alias("zero"), same.alias("same"), (~same).alias("changed"), (~(same & (vs[empty] == unused))).alias("bad"), *[v.alias(k) for k, v in flags.items()])
         order = Window.partitionBy("replica", "page").orderBy("off")
         after = order.rowsBetween(5, Window.unboundedFollowing)
@@ -339,12 +412,39 @@ def record_relations(history: DataFrame, names: tuple[str, str, str, str], page_
         table = table.withColumn("top", top)
         table = table.withColumns({"last_bad": last_bad, "fixed": fixed, **{f"n_{f}": total(f) for f in flags}})
         holds = F.col("zero") & F.col("fixed") & (F.col("off") + 5 < page_size) & (F.col("n_growth") > 0) & (F.col("n_release_violation") == 0) & (F.col("n_regrowth_violation") == 0) & (F.col("n_additional") > 0)
+        if recreated:
+            holds &= F.col("n_recreate_violation") == 0
         slack = F.when((F.col("top") < F.col("off") + 5) | F.col("last_bad").isNotNull(), 0).otherwise(page_size - 1 - F.col("top"))
         found = table.where(holds).select("replica", "page", F.col("off").alias("start"), F.lit(polarity).alias("polarity"), slack.alias("slack"))
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def at_highwater(found: DataFrame, history: DataFrame, counts: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Of record_relations() those whose bitmap says, at each named checkpoint, in use up to the last page and not beyond.
+
+    The record's first page lies below the page count, all pages from it on are
+    in use and the page after the last is not.  Bits are compared as bytes: whole
+    ones as hex text, the rest of the last by a mask.
+    """
+    named = F.col("checkpoint").isin(*names)
+    ends = counts.where(named).select("replica", "checkpoint", F.col("page_count").cast("long").alias("end"))
+    rows = found.join(history.where(named).select("replica", "page", "checkpoint", "raw"), ["replica", "page"]).join(ends, ["replica", "checkpoint"], "left")
+    n = F.col("end") - read_uint(F.col("raw"), F.col("start") + 1, 4)
+    inverse = F.col("polarity") == POLARITIES[1]
+    whole, rest = F.floor(n / 8).cast("int"), (n % 8).cast("int")
+    first = F.col("start") + 5
+    full = F.substr(F.hex("raw"), 2 * first + 1, 2 * whole) == F.repeat(F.when(inverse, "00").otherwise("FF"), whole)
+    last = byte(F.col("raw"), first + whole)
+    last = F.when(inverse, last.bitwiseXOR(255)).otherwise(last)
+    low = F.call_function("shiftleft", F.lit(1), rest)
+    edge = F.coalesce(last.bitwiseAND(low * 2 - 1) == low - 1, rest == 0)
+    fits = F.coalesce((n > 0) & full & edge, F.lit(False))
+    keys = [c for c in found.columns]
+    good = rows.groupBy(*keys).agg(F.bool_and(fits).alias("fits"), F.count_distinct("checkpoint").alias("n")).where(F.col("fits") & (F.col("n") == len(set(names))))
+    return good.select(*keys)
+
+
 def polarity_conflicts(predicted: DataFrame, inline: DataFrame) -> DataFrame:
     """Rows (replica, checkpoint, page) that one side calls in use and the other does not."""
     a, b = predicted.select("replica", "checkpoint", "page").distinct(), inline.select("replica", "checkpoint", "page").distinct()
@@ -365,6 +465,26 @@ def replicas_agree(survivors: DataFrame, n_replicas: int, *keys: str) -> DataFra
     return survivors.select("replica", *keys).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == n_replicas).select(*keys)
 
 
+def joint_models(pointers: DataFrame, formulas: DataFrame, n_replicas: int, ceiling: int) -> DataFrame:
+    """One row (examined, survivors, error_code) of the models that all derivation replicas keep.
+
+    Used times free offsets of each layout, times all formulas, are examined; a
+    pair of one and the same offset is no model, and only the formulas that all
+    replicas keep count.  More examined than the ceiling is a refusal.
+    """
+    kept = replicas_agree(pointers, n_replicas, "layout", "role", "off")
+    is_role = lambda r: F.bool_or(F.col("role") == r).cast("long")
+    per = kept.groupBy("layout", "off").agg(is_role("used").alias("used"), is_role("free").alias("free"))
+    per = per.groupBy("layout").agg(F.sum("used").alias("used"), F.sum("free").alias("free"), F.sum(F.col("used") * F.col("free")).alias("both"))
+    none = F.lit(0).cast("long")
+    pairs = per.agg(F.coalesce(F.sum(F.col("used") * F.col("free")), none).alias("pairs"), F.coalesce(F.sum(F.col("used") * F.col("free") - F.col("both")), none).alias("apart"))
+    bases = replicas_agree(formulas, n_replicas, "formula").agg(F.count(F.lit(1)).alias("n"))
+    examined = F.col("pairs") * len(BASE_FORMULAS)
+    return pairs.join(bases).select(
+        examined.alias("examined"), F.when(examined <= ceiling, F.col("apart") * F.col("n")).alias("survivors"), F.when(examined > ceiling, "resource_bound").alias("error_code")
+    )
+
+
 def model_count(pointers: DataFrame, formulas: DataFrame) -> DataFrame:
     """(replica, n_models): used offsets times free offsets of each layout, times formulas."""
     per = pointers.groupBy("replica", "layout").agg(F.count_if(F.col("role") == "used").alias("used"), F.count_if(F.col("role") == "free").alias("free"))

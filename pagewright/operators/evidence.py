@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.bytes import framed, write_int
-from ..sources.scratch import stored
+from ..sources.scratch import forget, stored
 
 #: Metrics by which way is better.
 LOWER_IS_BETTER = ("median_latency_ns", "peak_rss_bytes", "output_size_bytes")
@@ -76,9 +76,11 @@ def derived_status(rows: DataFrame, *keys: str, status: str = "status") -> DataF
     return rows.groupBy(*keys).agg(derived.alias("derived"))
 
 
-def declared_counts(rows: DataFrame, declared: DataFrame, key: str = "status") -> DataFrame:
-    """Statuses whose number is not the declared (key, n)."""
+def declared_counts(rows: DataFrame, declared: DataFrame, key: str = "status", total: str | None = None) -> DataFrame:
+    """Statuses whose number is not the declared (key, n); total names the declared number of all rows."""
     got = rows.groupBy(key).agg(F.count(F.lit(1)).alias("got"))
+    if total is not None:
+        got = got.unionByName(got.agg(F.lit(total).alias(key), F.coalesce(F.sum("got"), F.lit(0).cast("long")).alias("got")))
     both = got.join(declared.select(key, F.col("n").alias("want")), key, "full")
     return both.where(F.coalesce("got", F.lit(0)) != F.coalesce("want", F.lit(0)))
 
@@ -277,17 +279,30 @@ def zipped_blocks(targets: DataFrame, blocks: DataFrame, *keys: str) -> DataFram
 def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node) of everything below a root in (node, parent), roots with it.
 
-    Goes down a level a round until nothing new is found, so neither depth nor
-    cycles matter; each round's new pairs are written to the shared folder.
+    Steps double: round k joins what is less than 2**k steps below a root with
+    the steps of just 2**k, then doubles those by a join with themselves, so a
+    tree of depth d takes log2(d) rounds.  It ends when no step is left, or, as
+    in cycles, when a round finds nothing new.  Tables are written to the shared
+    folder, and those that nothing reads any more are deleted.
     """
     seen = stored(roots.select("root", F.col("root").alias("node")).distinct(), "closure")
-    last = seen
-    while True:
-        below = last.withColumnRenamed("node", "parent").join(edges.select("node", "parent"), "parent").select("root", "node").distinct()
-        last = stored(below.join(seen, ["root", "node"], "left_anti"), "closure")
-        if last.isEmpty():
-            return seen
-        seen = seen.unionByName(last)
+    steps = stored(edges.select("parent", "node").distinct(), "closure-steps")
+    n_seen = seen.count()
+    while not steps.isEmpty():
+        below = seen.withColumnRenamed("node", "parent").join(steps, "parent").select("root", "node")
+        more = stored(seen.unionByName(below).distinct(), "closure")
+        n_more = more.count()
+        forget(seen)
+        seen = more
+        if n_more == n_seen:
+            break
+        n_seen = n_more
+        twice = steps.select("parent", F.col("node").alias("middle")).join(steps.select(F.col("parent").alias("middle"), "node"), "middle").select("parent", "node").distinct()
+        doubled = stored(twice, "closure-steps")
+        forget(steps)
+        steps = doubled
+    forget(steps)
+    return seen
 
 
 def closure_sum(nodes: DataFrame, roots: DataFrame, value: str) -> DataFrame:
@@ -313,8 +328,15 @@ def growth_schedule(spark: SparkSession, thresholds: Sequence[int], start_pages:
     )
 
 
-def growth_targets(states: DataFrame, thresholds: DataFrame, *keys: str) -> DataFrame:
-    """(keys, threshold, ordinal, page_count, overshoot): the first state with as many pages as a threshold."""
-    reached = states.join(F.broadcast(thresholds), F.col("page_count") >= F.col("threshold"))
-    first = reached.groupBy(*keys, "threshold").agg(F.min_by(F.struct("ordinal", "page_count"), "ordinal").alias("s"))
-    return first.select(*keys, "threshold", "s.ordinal", "s.page_count", (F.col("s.page_count") - F.col("threshold")).alias("overshoot"))
+def growth_targets(states: DataFrame, thresholds: Sequence[int], *keys: str) -> DataFrame:
+    """(keys, threshold, ordinal, page_count, overshoot): the first state with as many pages as a threshold.
+
+    A state is the first with just the thresholds above all earlier states and not
+    above it, so one window by key does it and no state meets a threshold twice.
+    """
+    before = Window.partitionBy(*keys).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    marked = states.withColumn("most", F.max("page_count").over(before))
+    every = F.array(*[F.lit(t).cast("long") for t in sorted(set(thresholds))])
+    own = F.filter(every, lambda t: (t <= F.col("page_count")) & (F.col("most").isNull() | (t > F.col("most"))))
+    first = marked.select(*keys, "ordinal", "page_count", F.explode(own).alias("threshold"))
+    return first.select(*keys, "threshold", "ordinal", "page_count", (F.col("page_count") - F.col("threshold")).alias("overshoot"))

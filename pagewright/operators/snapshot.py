@@ -116,24 +116,28 @@ def flattened(rows: DataFrame, canonical_only: bool = False) -> DataFrame:
 def deep_diff(left: DataFrame, right: DataFrame, allowed: DataFrame) -> DataFrame:
     """(path, error_code): unexpected differences, and allowed ones that were not seen.
 
-    left and right: (path, type, value); allowed: (path).  Differing keys come
-    before differing types, those before values; an allowed path must differ.
+    left and right: (path, type, value); allowed: (path), of a value or of all
+    that lies below it.  Differing keys come before differing types, those before
+    lengths (of rows of type array, whose value is their length) and values.  An
+    allowance must see a difference; one below another is never looked at.  Only
+    differences are dealt by the paths above them.
     """
     a = left.select("path", F.col("type").alias("lt"), F.col("value").alias("lv"), F.lit(True).alias("in_left"))
     b = right.select("path", F.col("type").alias("rt"), F.col("value").alias("rv"), F.lit(True).alias("in_right"))
-    both = a.join(b, "path", "full").join(allowed.select("path", F.lit(True).alias("allowed")), "path", "full")
-    missing = F.col("in_left").isNull() | F.col("in_right").isNull()
-    differs = missing | ~F.col("lt").eqNullSafe(F.col("rt")) | ~F.col("lv").eqNullSafe(F.col("rv"))
-    allow = F.coalesce("allowed", F.lit(False))
-    nowhere = F.col("in_left").isNull() & F.col("in_right").isNull()
+    both = a.join(b, "path", "full")
+    same_type = F.col("lt").eqNullSafe(F.col("rt"))
     code = (
-        F.when(allow & (nowhere | ~differs), "allowed_difference_not_observed")
-        .when(allow, F.lit(None).cast("string"))
-        .when(missing, "key_difference")
-        .when(~F.col("lt").eqNullSafe(F.col("rt")), "type_difference")
-        .when(differs, "value_difference")
+        F.when(F.col("in_left").isNull() | F.col("in_right").isNull(), "key_difference")
+        .when(~same_type, "type_difference")
+        .when(~F.col("lv").eqNullSafe(F.col("rv")), F.when(F.col("lt") == "array", "length_difference").otherwise("value_difference"))
     )
-    return both.select("path", code.alias("error_code")).where("error_code is not null")
+    differ = both.select("path", code.alias("error_code")).where("error_code is not null")
+    tokens = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda n: F.array_join(F.slice(tokens, F.lit(1), n), "/"))
+    given = allowed.select(F.col("path").alias("above")).distinct()
+    met = differ.select("path", F.explode(above).alias("above")).join(given, "above").groupBy("path").agg(F.min_by("above", F.length("above")).alias("above"))
+    unseen = given.join(met.select("above").distinct(), "above", "left_anti").select(F.col("above").alias("path"), F.lit("allowed_difference_not_observed").alias("error_code"))
+    return differ.join(met.select("path"), "path", "left_anti").unionByName(unseen)
 
 
 def from_table(table: DataFrame, snapshot: str, name: str, key: Column, kinds: dict[str, str]) -> DataFrame:

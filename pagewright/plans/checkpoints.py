@@ -205,8 +205,7 @@ def single_change_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 def growth_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first state of each replica with as many pages as a threshold."""
     states = spark.range(3 * 200).select((F.floor(F.col("id") / 200) + 1).cast("int").alias("replica"), (F.col("id") % 200).alias("ordinal")).withColumn("page_count", F.col("ordinal") * 13 + F.col("replica") * 5)
-    thresholds = spark.range(1, 5).select((F.col("id") * 512).alias("threshold"))
-    return evidence.growth_targets(states, thresholds, "replica")
+    return evidence.growth_targets(states, [512 * i for i in range(1, 5)], "replica")
 
 
 
@@ -220,17 +219,29 @@ def inline_record_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.record_relations(_record_history(spark), ("E0", "D_GROW_0128", "D_DROP", "D_REGROW_0128"), page_size=256)
 
 
-def _record_history(spark: SparkSession) -> DataFrame:
-    """Per replica two pages: a record at 40 with set bits in use, one at 60 with clear bits in use."""
+def released_record_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those whose bits are released when the table is made again and whose pages in use end at the page count."""
+    names = ("E0", "D_GROW_0128", "D_DROP", "D_REGROW_0128")
+    history = _record_history(spark, True)
+    found = ops.record_relations(history, names, page_size=256, recreated="D_RECREATE_EMPTY")
+    size = F.when(F.col("checkpoint") == "E0", 1).when(F.col("checkpoint") == "D_REGROW_0128", 6).otherwise(4 + F.when(F.col("replica") == 2, 1).otherwise(0))
+    counts = history.select("replica", "checkpoint").distinct().withColumn("page_count", size)
+    return ops.at_highwater(found, history, counts, ("E0", "D_GROW_0128", "D_REGROW_0128"))
+
+
+def _record_history(spark: SparkSession, recreated: bool = False) -> DataFrame:
+    """Per replica two pages: a record at 40 with set bits in use, one at 60 with clear bits in use; made again, replica 3 keeps a bit."""
     from ..sources.generators import packed_bytes
 
-    names = ("E0", "D_GROW_0128", "D_DROP", "D_REGROW_0128")
+    names = ("E0", "D_GROW_0128", "D_DROP", "D_REGROW_0128", *(["D_RECREATE_EMPTY"] if recreated else []))
     # bits of the record's first bitmap bytes at each checkpoint
-    used = {"E0": 0x01, "D_GROW_0128": 0x0F, "D_DROP": 0x01, "D_REGROW_0128": 0x3F}
+    used = {"E0": 0x01, "D_GROW_0128": 0x0F, "D_DROP": 0x01, "D_REGROW_0128": 0x3F, "D_RECREATE_EMPTY": 0x01}
     out = None
     for at, name in enumerate(names):
         for page, start, flip in ((1, 40, 0), (2, 60, 255)):
-            bits = used[name] ^ flip
+            bits = F.lit(used[name] ^ flip)
+            if name == "D_RECREATE_EMPTY":
+                bits = F.when(F.col("id") == 3, 0x03 ^ flip).otherwise(bits)
 
             def value(i, start=start, bits=bits, flip=flip):
                 edge = F.when((i >= start) & (i < start + 5), 0).when((i >= start + 5) & (i < start + 8), bits).when(i >= start + 8, flip)
@@ -259,7 +270,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         idle_gate, aba_pages, qualify_global_pages, qualify_tdef_pages, qualified_page_bound, history_changed_pages, checkpoint_transitions, checkpoint_changed_pages, checkpoint_completeness,
-        chain_order, prefix_sum_intervals, last_changed_offsets, suffix_slack, single_change_point, growth_targets, growth_schedule, inline_record_relations, record_intervals, replica_agreement,
+        chain_order, prefix_sum_intervals, last_changed_offsets, suffix_slack, single_change_point, growth_targets, growth_schedule, inline_record_relations, released_record_relations, record_intervals, replica_agreement,
     )
 }
 
@@ -300,6 +311,9 @@ SQL = {
         UNION ALL SELECT t.step, t.threshold, ceil((t.threshold - s.page_count) / 37.0)::BIGINT, s.page_count + ceil((t.threshold - s.page_count) / 37.0)::BIGINT * 37 FROM s JOIN t ON t.step = s.step + 1)
       SELECT step, threshold, batches, page_count FROM s WHERE step > 0""",
     "inline_record_relations": f"SELECT r::INT AS replica, page::BIGINT AS page, start, polarity, 255 - (start + 7) AS slack FROM range(1, 4) t(r), {_RECORDS}",
+    "released_record_relations": f"""WITH h AS (SELECT r, 1 AS empty, 15 AS grown, 1 AS dropped, 63 AS regrown, CASE r WHEN 3 THEN 3 ELSE 1 END AS again, CASE r WHEN 2 THEN 5 ELSE 4 END AS n FROM range(1, 4) t(r)), g AS (SELECT *, grown & ~empty AS gained FROM h)
+      SELECT r::INT AS replica, page::BIGINT AS page, start, polarity, 255 - (start + 7) AS slack FROM g, {_RECORDS}
+      WHERE gained <> 0 AND gained & dropped = 0 AND gained & again = 0 AND gained & ~regrown = 0 AND regrown & ~grown <> 0 AND empty & 3 = 1 AND grown & ((2 << n) - 1) = (1 << n) - 1 AND regrown & 127 = 63""",
     "record_intervals": f"SELECT r::INT AS replica, page::BIGINT AS page, start + 5 AS start, start + 8 AS \"end\", 'ambiguous_record_boundary' AS error_code FROM range(1, 4) t(r), {_RECORDS}",
     "replica_agreement": f"SELECT page::BIGINT AS page, start, polarity, 255 - (start + 7) AS slack, 'ambiguous_model' AS outcome, 3::BIGINT AS n_replicas FROM {_RECORDS}",
 }

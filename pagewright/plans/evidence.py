@@ -51,10 +51,10 @@ def derived_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def declared_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statuses whose number is not the declared."""
+    """Statuses whose number is not the declared, and the number of all."""
     orders = _read(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"))
-    declared = spark.createDataFrame([("F", 1), ("X", 0), ("Y", 2)], "status string, n long")
-    return ops.declared_counts(orders, declared).select("status", F.coalesce("got", F.lit(0)).alias("got"), F.coalesce("want", F.lit(0)).alias("want"))
+    declared = spark.createDataFrame([("F", 1), ("X", 0), ("Y", 2), ("selected", 3)], "status string, n long")
+    return ops.declared_counts(orders, declared, total="selected").select("status", F.coalesce("got", F.lit(0)).alias("got"), F.coalesce("want", F.lit(0)).alias("want"))
 
 
 def ratio_threshold_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,7 +252,7 @@ SQL = {
       SELECT l_orderkey, count(*) FILTER (s = 'PASS') AS n_pass, count(*) FILTER (s = 'FAIL') AS n_fail, count(*) FILTER (s = 'BLOCKED') AS n_blocked, CASE max(CASE s WHEN 'FAIL' THEN 2 WHEN 'BLOCKED' THEN 1 ELSE 0 END) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'BLOCKED' ELSE 'PASS' END AS overall FROM s GROUP BY 1""",
     "derived_status": """WITH s AS (SELECT o_custkey, CASE WHEN o_orderkey % 97 = 0 THEN 3 WHEN o_orderstatus = 'F' THEN 2 WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS s FROM orders)
       SELECT o_custkey, CASE max(s) WHEN 3 THEN 'error' WHEN 2 THEN 'fail' WHEN 1 THEN 'blocked' ELSE 'pass' END AS derived FROM s GROUP BY 1""",
-    "declared_status_counts": """WITH g AS (SELECT o_orderstatus AS status, count(*) AS got FROM orders GROUP BY 1), d AS (SELECT * FROM (VALUES ('F', 1), ('X', 0), ('Y', 2)) v(status, want))
+    "declared_status_counts": """WITH g AS (SELECT o_orderstatus AS status, count(*) AS got FROM orders GROUP BY 1 UNION ALL SELECT 'selected', count(*) FROM orders), d AS (SELECT * FROM (VALUES ('F', 1), ('X', 0), ('Y', 2), ('selected', 3)) v(status, want))
       SELECT coalesce(g.status, d.status) AS status, coalesce(got, 0) AS got, coalesce(want, 0)::BIGINT AS want FROM g FULL JOIN d ON g.status = d.status WHERE coalesce(got, 0) <> coalesce(want, 0)""",
     "ratio_threshold_exact": "SELECT quality, sum(toxic)::BIGINT AS covered, count(*) AS total, sum(toxic) * 100 >= count(*) * 13 AS meets FROM labels GROUP BY quality",
     "mutation_score": "WITH s AS (SELECT o_orderpriority, count(*) FILTER (o_orderkey % 9 < 7) AS killed, count(*) FILTER (o_orderkey % 9 = 7) AS survived FROM orders GROUP BY 1) SELECT *, killed + survived > 0 AND killed * 100 >= (killed + survived) * 88 AS meets FROM s",

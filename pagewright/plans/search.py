@@ -54,6 +54,16 @@ def pointer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.pointer_windows(_history(spark), _counts(spark), _intervals(spark), GROWTH, CHURN)
 
 
+def returning_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pointers that nothing but growth, or nothing but churn, moves, and that are back after the churn."""
+    return ops.pointer_windows(_history(spark), _counts(spark), _intervals(spark), GROWTH, CHURN, outside=[("c2", "c3")], returns=("c3", "c4", "c5"))
+
+
+def joint_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models that both replicas keep: examined and surviving ones."""
+    return ops.joint_models(pointer_windows(spark, sf_dir), surviving_formulas(spark, sf_dir), 2, 1000)
+
+
 def model_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Used times free offsets of each layout, times surviving formulas."""
     return ops.model_count(pointer_windows(spark, sf_dir), surviving_formulas(spark, sf_dir))
@@ -70,6 +80,17 @@ def inline_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.inline_boundaries(cut, _intervals(spark), F.col("start") + 5)
 
 
+def explained_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ends of an inline bitmap that the page counts explain; one replica has a byte left behind them."""
+    grid = spark.range(8).select((F.floor(F.col("id") / 4) + 1).cast("int").alias("replica"), (F.col("id") % 4).cast("int").alias("ordinal"))
+    at = F.least(F.col("ordinal"), F.lit(2))
+    value = lambda i: F.when(i < 5, 1).when(i == 6, 100).when((i >= 10) & (i <= at + 10), 255).when((i == 30) & (F.col("replica") == 2), 7).otherwise(0)
+    history = grid.select("replica", "ordinal", F.concat(F.lit("c"), F.col("ordinal").cast("string")).alias("checkpoint"), F.lit(1).cast("long").alias("page"), packed_bytes(SIZE, value).alias("raw"))
+    counts = history.select("replica", "checkpoint", F.when(F.col("ordinal") == 3, 200).otherwise(F.col("ordinal") * 8 + 108).cast("long").alias("page_count"))
+    spans = history.select("replica", "page").distinct().select("replica", "page", F.lit(5).alias("start"), F.lit(40).alias("end"))
+    return ops.explained_boundaries(history, counts, spans, ("c0", "c1", "c2"), ops.POLARITIES[0])
+
+
 def _slots(spark: SparkSession) -> DataFrame:
     """An indirect record at 2 of each page: references by slot, some zero."""
     raw = F.concat(F.lit(b"xx\1"), packed_bytes(20, lambda i: F.when(i % 4 == 0, (F.col("replica") * i + F.col("ordinal")) % 9).otherwise(0)))
@@ -110,6 +131,17 @@ def surviving_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.surviving_formulas(ops.predicted_pages(_edges(spark)), _counts(spark), GROWTH)
 
 
+def strict_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base formulas whose new bits stand for all appended pages and no others."""
+    return ops.strict_formulas(_edges(spark), _counts(spark), GROWTH)
+
+
+def covering_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base formulas that take in all pages of the inline record: 20 to 290, or 19 to 290."""
+    inline = spark.range(1, 3).select(F.col("id").cast("int").alias("replica"), F.explode(F.sequence(21 - F.col("id"), F.lit(290).cast("long"))).alias("page"))
+    return ops.covering_formulas(ops.predicted_pages(_edges(spark)), inline, "c0")
+
+
 def predicted_page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that the set bits stand for, by formula: how many, first and last."""
     found = ops.predicted_pages(_edges(spark))
@@ -136,7 +168,7 @@ def opened_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        pointer_windows, model_counts, history_changed_bytes, inline_boundaries, slot_references, reference_edges, surviving_formulas, predicted_page_counts, incremental_capture, opened_blobs,
+        pointer_windows, returning_windows, joint_models, explained_boundaries, strict_formulas, covering_formulas, model_counts, history_changed_bytes, inline_boundaries, slot_references, reference_edges, surviving_formulas, predicted_page_counts, incremental_capture, opened_blobs,
     )
 }
 
@@ -158,7 +190,22 @@ SQL = {
     "model_counts": f"""WITH {_WINDOWS}, {_SURVIVORS}, m AS (SELECT r, layout, count(*) FILTER (role = 'used') * count(*) FILTER (role = 'free') AS pairs FROM q GROUP BY 1, 2)
       SELECT r::INT AS replica, (sum(pairs) * (SELECT count(*) FROM z WHERE z.r = m.r))::BIGINT AS n_models FROM m GROUP BY r""",
     "history_changed_bytes": f"WITH {_CELLS} SELECT r::INT AS replica, 1::BIGINT AS page, i::INT AS off FROM v GROUP BY r, i HAVING count(DISTINCT v) FILTER (k <= 2) > 1 OR count(DISTINCT v) FILTER (k >= 3) > 1",
-    "inline_boundaries": "SELECT r::INT AS replica, 1::BIGINT AS page, 48::INT AS boundary FROM range(1, 3) a(r)",
+    "inline_boundaries": f"""WITH {_CELLS}, c AS (SELECT r, k, i, CASE WHEN i < 40 THEN v WHEN i - 40 < k + 3 THEN i - 39 ELSE 0 END AS v FROM v WHERE i >= {START} AND i < {END}),
+      o AS (SELECT r, i, max(v) AS most, max(v) FILTER (k = 5) AS last_v FROM c GROUP BY 1, 2)
+      SELECT r::INT AS replica, 1::BIGINT AS page, (i + 1)::INT AS boundary FROM o a WHERE last_v <> 0 AND i >= {START} + 5 AND NOT EXISTS (FROM o b WHERE b.r = a.r AND b.i > a.i AND b.most <> 0)""",
+    "returning_windows": f"""WITH {_WINDOWS}, t AS (SELECT r, i, layout, bool_and(p >= 1 AND p < {_N}) AS inside, count(DISTINCT (v0, v1, v2, v3)) FILTER (k <= 2) > 1 AS grows, count(DISTINCT (v0, v1, v2, v3)) FILTER (k >= 3) > 1 AS churns,
+        count(DISTINCT (v0, v1, v2, v3)) FILTER (k IN (2, 3)) > 1 AS strays, count(DISTINCT (v0, v1, v2, v3)) FILTER (k IN (3, 4)) > 1 AND count(DISTINCT (v0, v1, v2, v3)) FILTER (k IN (3, 5)) = 1 AS back FROM l GROUP BY 1, 2, 3)
+      SELECT r::INT AS replica, 1::BIGINT AS page, i::INT AS off, layout, CASE WHEN grows THEN 'used' ELSE 'free' END AS role FROM t WHERE inside AND NOT strays AND (grows AND NOT churns OR churns AND back AND NOT grows)""",
+    "joint_models": f"""WITH {_WINDOWS}, {_SURVIVORS}, u AS (SELECT layout, role, i FROM q GROUP BY ALL HAVING count(DISTINCT r) = 2), m AS (SELECT layout, count(*) FILTER (role = 'used') AS a, count(*) FILTER (role = 'free') AS b FROM u GROUP BY 1)
+      SELECT (sum(a * b) * 6)::BIGINT AS examined, (sum(a * b) * (SELECT count(*) FROM (SELECT formula FROM z GROUP BY 1 HAVING count(*) = 2)))::BIGINT AS survivors, CASE WHEN sum(a * b) * 6 > 1000 THEN 'resource_bound' END AS error_code FROM m""",
+    "explained_boundaries": """WITH c AS (SELECT r, k, i, CASE WHEN i >= 10 AND i <= least(k, 2) + 10 THEN 255 WHEN i = 30 AND r = 2 THEN 7 ELSE 0 END AS v FROM range(1, 3) a(r), range(0, 4) b(k), range(10, 40) d(i)),
+      m AS (SELECT r, i, bool_or(k < 3 AND v <> (1 << greatest(0, least(8, 8 * (k + 1) - 8 * (i - 10)))::INT) - 1) AS wrong, bool_or(v <> 0) AS used FROM c GROUP BY 1, 2)
+      SELECT r::INT AS replica, 1::BIGINT AS page, e::INT AS boundary, CASE WHEN bool_or(used AND i >= e) THEN 'suffix' ELSE 'survives' END AS status FROM m, range(10, 41) t(e)
+      GROUP BY r, e HAVING NOT bool_or(wrong AND i < e) AND e - 10 IN (SELECT k + 1 FROM range(0, 3) w(k))""",
+    "strict_formulas": f"""WITH {_SURVIVORS} SELECT r::INT AS replica, formula FROM n GROUP BY r, formula
+      HAVING bool_and(page >= CASE k WHEN 1 THEN 300 ELSE 310 END AND page < CASE k WHEN 1 THEN 310 ELSE 325 END) AND count(DISTINCT page) FILTER (k = 1) = 10 AND count(DISTINCT page) FILTER (k = 2) = 15""",
+    "covering_formulas": f"""WITH {_BITS}, w AS (SELECT r, unnest(range(21 - r, 291)) AS page FROM range(1, 3) x(r))
+      SELECT r::INT AS replica, formula FROM (SELECT DISTINCT r, formula, page FROM f WHERE k = 0) JOIN w USING (r, page) GROUP BY r, formula HAVING count(*) = 270 + r""",
     "slot_references": f"WITH {_SLOTS} SELECT r::INT AS replica, k::INT AS ordinal, slot::INT AS slot, ref::BIGINT AS ref FROM s",
     "reference_edges": f"WITH {_SLOTS} SELECT r::INT AS replica, k::INT AS ordinal, slot::INT AS slot, ref::BIGINT AS ref, CASE WHEN ref >= 7 THEN 'reference_out_of_range' WHEN ref % 3 <> 1 THEN 'not_an_extended_bitmap' END AS error_code FROM s",
     "surviving_formulas": f"WITH {_SURVIVORS} SELECT r::INT AS replica, formula FROM z",

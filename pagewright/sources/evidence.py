@@ -6,6 +6,8 @@ Schemas are declared, never inferred; a file that does not fit fails the query.
 from __future__ import annotations
 
 import json
+import math
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +19,9 @@ from .images import PAGE_SIZE
 MANIFEST = "files array<struct<id string, path string, size_bytes bigint, sha256 string>>"
 ESTIMATES = "median struct<point_estimate double>"
 BENCHMARK = "group_id string, function_id string, value_str string, full_id string, throughput struct<Bytes bigint, Elements bigint>"
-MUTANTS = "outcomes array<struct<scenario struct<Mutant struct<file string, function struct<function_name string>, span struct<start struct<line bigint>>, genre string>>, summary string>>"
+#: A scenario is an object for a mutant and a word for the baseline, so it is read as text first.
+OUTCOMES = "outcomes array<struct<scenario string, summary string>>"
+MUTANT = "Mutant struct<file string, function struct<function_name string>, span struct<start struct<line bigint>>, genre string>"
 
 
 def _json_error(text: str | None, max_bytes: int, max_depth: int, max_nodes: int) -> str | None:
@@ -37,8 +41,14 @@ def _json_error(text: str | None, max_bytes: int, max_depth: int, max_nodes: int
     def constant(name):
         raise ValueError(name)
 
+    def finite(digits):
+        value = float(digits)
+        if math.isinf(value):
+            raise ValueError(digits)
+        return value
+
     try:
-        top = json.loads(text, object_pairs_hook=pairs, parse_constant=constant)
+        top = json.loads(text, object_pairs_hook=pairs, parse_constant=constant, parse_float=finite)
     except Repeated:
         return "duplicate_key"
     except (ValueError, RecursionError):
@@ -59,7 +69,7 @@ def _json_error(text: str | None, max_bytes: int, max_depth: int, max_nodes: int
 def json_errors(max_bytes: int = 1 << 20, max_depth: int = 64, max_nodes: int = 100_000):
     """A function of a text column: why it is refused as strict JSON, or null.
 
-    Repeated keys, NaN and bounds of size, nodes and depth are beyond the
+    Repeated keys, numbers that are not finite and bounds of size, nodes and depth are beyond the
     built-in reader, so this one is a pandas function.
     """
 
@@ -87,8 +97,8 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 def tree_files(spark: SparkSession, root: str, *, max_entries: int | None = None, max_depth: int | None = None) -> DataFrame:
     """(path below root, size, sha256, depth, error_code) of every file: deeper than allowed, or more than allowed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").removeprefix("file:")
-    below = F.regexp_replace("path", "^.*" + base.replace("\\", "\\\\").replace(".", "\\.") + "/", "")
+    base = re.sub("^/+", "/", root.rstrip("/").removeprefix("file:")) + "/"
+    below = F.substr(F.col("path"), F.position(F.lit(base), F.col("path")) + len(base))
     out = files.select(below.alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
     out = out.withColumn("depth", F.size(F.split("path", "/")))
     code = F.when(F.col("depth") > max_depth, "too_deep") if max_depth else F.lit(None).cast("string")
@@ -114,7 +124,7 @@ def without_quarantined(files: DataFrame, word: str = "quarantine") -> DataFrame
 def page_store(spark: SparkSession, root: str, page_size: int = PAGE_SIZE) -> DataFrame:
     """(sha256, raw, error_code) of a content-addressed page store: the file's name is its digest."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    name = F.regexp_extract("path", r"([0-9a-f]{64})(?:\.bin)?$", 1)
+    name = F.regexp_extract("path", r"/([0-9a-f]{64})(?:\.bin)?\z", 1)
     code = F.when(name == "", "bad_name").when(F.col("length") != page_size, "bad_size").when(F.sha2("content", 256) != name, "digest_differs")
     return files.select(name.alias("sha256"), F.col("content").alias("raw"), code.alias("error_code"))
 
@@ -147,10 +157,11 @@ def coverage_json(spark: SparkSession, path: str) -> DataFrame:
 
 def mutant_outcomes(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, function, genre, status) of a mutation run; the baseline has no mutant and goes."""
-    docs = spark.read.schema(MUTANTS).option("multiLine", "true").option("mode", "FAILFAST").json(path)
-    m = F.col("o.scenario.Mutant")
+    docs = spark.read.schema(OUTCOMES).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+    m = F.col("m.Mutant")
     status = F.when(F.col("o.summary") == "CaughtMutant", "killed").when(F.col("o.summary") == "MissedMutant", "survived").otherwise(F.lower("o.summary"))
-    rows = docs.select(F.explode("outcomes").alias("o")).where(m.isNotNull())
+    rows = docs.select(F.explode("outcomes").alias("o")).where("o.scenario like '{%'")
+    rows = rows.select("o", F.from_json("o.scenario", MUTANT, {"mode": "FAILFAST"}).alias("m")).where(m.isNotNull())
     return rows.select(m["file"].alias("file"), m["span"]["start"]["line"].alias("line"), m["function"]["function_name"].alias("function"), m["genre"].alias("genre"), status.alias("status"))
 
 

@@ -68,7 +68,7 @@ def test_probe_and_cli(spark, tmp_path, capsys):
     r = census.probe(images.binary_images(spark, str(path)), page_size=2048, max_bytes=10000, max_pages=5).first()
     assert (r.kind, r.pages_visited, r.work_units, r.fnv1a64) == ("standard", 2, 4098, fnv(probe_bytes(2)))
     assert cli.main(["probe", str(path), "--scan-pages", "--max-scan-bytes", "5000", "--max-pages", "9"]) == 0
-    assert json.loads(capsys.readouterr().out)["fnv1a64"] == fnv(probe_bytes(2))
+    assert json.loads(capsys.readouterr().out)["raw_scan"]["checksum_hex"] == fnv(probe_bytes(2))
     for args, code in (
         ([], "unknown_command"), (["probe"], "missing_file"), (["probe", "f", "--scan-pages", "--scan-pages"], "duplicate_option"), (["probe", "f", "--max-pages"], "missing_option_value"),
         (["probe", "f", "--max-pages", "0"], "invalid_limit"), (["probe", "f", "--x"], "unknown_option"), (["probe", "f", "--scan-pages"], "scan_limits_required"),
