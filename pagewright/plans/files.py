@@ -34,24 +34,37 @@ def _grouped(rows: DataFrame, group: Column, doc: Column, name: str) -> str:
     return root
 
 
-_KEY, _NAME = F.col("n_nationkey"), F.col("n_name")
-_TREE = F.when(_KEY % 3 == 0, F.concat(_NAME, F.lit(".txt"))).when(_KEY % 3 == 1, F.concat_ws("/", F.col("n_regionkey"), F.concat(_NAME, F.lit(".txt")))).otherwise(F.concat_ws("/", F.lit("a+b (c)/x.y/z"), _NAME))
-_MOVED = F.when(_KEY % 4 == 0, F.concat(F.lit("quarantine/"), _NAME)).otherwise(F.concat(F.lit("kept/"), _NAME))
+def _key() -> Column:
+    return F.col("n_nationkey")
+
+
+def _name() -> Column:
+    return F.col("n_name")
+
+
+def _tree_path() -> Column:
+    """A nation's file at the top, below its region, or deep below folders with odd names."""
+    file = F.concat(_name(), F.lit(".txt"))
+    return F.when(_key() % 3 == 0, file).when(_key() % 3 == 1, F.concat_ws("/", F.col("n_regionkey"), file)).otherwise(F.concat_ws("/", F.lit("a+b (c)/x.y/z"), _name()))
+
+
+def _moved_path() -> Column:
+    return F.concat_ws("/", F.when(_key() % 4 == 0, "quarantine").otherwise("kept"), _name())
 
 
 def tree_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of a tree with size, digest and depth; some lie too deep."""
-    root = _placed(_read(spark, sf_dir, "nation"), _TREE, _NAME, "tree")
+    root = _placed(_read(spark, sf_dir, "nation"), _tree_path(), _name(), "tree")
     return evidence.tree_files(spark, root, max_entries=100, max_depth=3)
 
 
 def verified_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest's entries against the files: some missing, of another size or digest."""
     nations = _read(spark, sf_dir, "nation")
-    root = _placed(nations.where(_KEY % 5 != 3), _NAME, _NAME, "corpus")
-    size = F.octet_length("n_name") + F.when(_KEY % 5 == 1, 1).otherwise(0)
-    digest = F.when(_KEY % 5 == 2, F.repeat(F.lit("0"), F.lit(64))).otherwise(F.sha2("n_name", 256))
-    entry = F.struct(_KEY.cast("string").alias("id"), _NAME.alias("path"), size.alias("size_bytes"), digest.alias("sha256"))
+    root = _placed(nations.where(_key() % 5 != 3), _name(), _name(), "corpus")
+    size = F.octet_length("n_name") + F.when(_key() % 5 == 1, 1).otherwise(0)
+    digest = F.when(_key() % 5 == 2, F.repeat(F.lit("0"), F.lit(64))).otherwise(F.sha2("n_name", 256))
+    entry = F.struct(_key().cast("string").alias("id"), _name().alias("path"), size.alias("size_bytes"), digest.alias("sha256"))
     whole = nations.agg(F.to_json(F.struct(F.collect_list(entry).alias("files"))).alias("doc"))
     listed = evidence.manifest(spark, _placed(whole, F.lit("manifest.json"), F.col("doc"), "manifest"))
     return evidence.verified_corpus(listed, evidence.tree_files(spark, root)).select("id", "path", "size", "error_code")
@@ -59,7 +72,7 @@ def verified_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unquarantined_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of a tree without its quarantined ones."""
-    root = _placed(_read(spark, sf_dir, "nation"), _MOVED, _NAME, "corpus")
+    root = _placed(_read(spark, sf_dir, "nation"), _moved_path(), _name(), "corpus")
     return evidence.without_quarantined(evidence.tree_files(spark, root)).select("path", "size", "sha256")
 
 
@@ -77,8 +90,8 @@ def json_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def strict_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON files by a declared schema; some repeat a key."""
-    doc = F.concat(F.lit('{"a":'), _KEY.cast("string"), F.when(_KEY % 6 == 5, F.lit(',"a":0}')).otherwise("}"))
-    root = _placed(_read(spark, sf_dir, "nation"), F.concat(_KEY.cast("string"), F.lit(".json")), doc, "strict")
+    doc = F.concat(F.lit('{"a":'), _key().cast("string"), F.when(_key() % 6 == 5, F.lit(',"a":0}')).otherwise("}"))
+    root = _placed(_read(spark, sf_dir, "nation"), F.concat(_key().cast("string"), F.lit(".json")), doc, "strict")
     found = evidence.strict_json(spark, root, "a int")
     return found.select(F.regexp_extract("path", r"([0-9]+)\.json\z", 1).cast("int").alias("n_nationkey"), F.col("doc.a").alias("a"), "error_code")
 
@@ -104,8 +117,8 @@ def document_schema_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_store_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blobs named by their digest: some of another size, other bytes or a name that is no digest."""
     raw = F.unhex(F.md5("n_name"))
-    name = F.when(_KEY % 5 == 3, F.concat(F.lit("n"), _KEY.cast("string"))).otherwise(F.sha2(raw, 256))
-    held = F.when(_KEY % 5 == 1, F.concat(raw, F.lit(b"x"))).when(_KEY % 5 == 2, F.unhex(F.md5("n_regionkey"))).otherwise(raw)
+    name = F.when(_key() % 5 == 3, F.concat(F.lit("n"), _key().cast("string"))).otherwise(F.sha2(raw, 256))
+    held = F.when(_key() % 5 == 1, F.concat(raw, F.lit(b"x"))).when(_key() % 5 == 2, F.unhex(F.md5("n_regionkey"))).otherwise(raw)
     root = _placed(_read(spark, sf_dir, "nation").withColumn("n_regionkey", F.col("n_regionkey").cast("string")), F.concat(name, F.lit(".bin")), held, "store")
     return evidence.page_store(spark, root, 16).select("sha256", F.octet_length("raw").alias("n_bytes"), "error_code")
 
@@ -113,12 +126,12 @@ def page_store_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def benchmark_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark cases and their estimates from a result tree, whose base folders are not read."""
     nations = _read(spark, sf_dir, "nation")
-    n = (_KEY * 64).cast("long")
-    through = F.struct(F.when(_KEY % 3 == 0, n).alias("Bytes"), F.when(_KEY % 3 == 1, n).alias("Elements"))
-    case = F.to_json(F.struct(F.col("n_regionkey").cast("string").alias("group_id"), F.lit("f").alias("function_id"), _KEY.cast("string").alias("value_str"), F.concat_ws("/", F.col("n_regionkey"), F.lit("f"), _KEY).alias("full_id"), through.alias("throughput")))
-    time = F.to_json(F.struct(F.struct((_KEY + 0.5).cast("double").alias("point_estimate")).alias("median")))
+    n = (_key() * 64).cast("long")
+    through = F.struct(F.when(_key() % 3 == 0, n).alias("Bytes"), F.when(_key() % 3 == 1, n).alias("Elements"))
+    case = F.to_json(F.struct(F.col("n_regionkey").cast("string").alias("group_id"), F.lit("f").alias("function_id"), _key().cast("string").alias("value_str"), F.concat_ws("/", F.col("n_regionkey"), F.lit("f"), _key()).alias("full_id"), through.alias("throughput")))
+    time = F.to_json(F.struct(F.struct((_key() + 0.5).cast("double").alias("point_estimate")).alias("median")))
     every = F.explode(F.array(*[F.struct(F.lit(f"{run}/{name}.json").alias("file"), doc.alias("doc")) for run in ("new", "base") for name, doc in (("benchmark", case), ("estimates", time))]))
-    root = _placed(nations.select(_KEY, every.alias("e")), F.concat_ws("/", _KEY, F.col("e.file")), F.col("e.doc"), "bench")
+    root = _placed(nations.select(_key(), every.alias("e")), F.concat_ws("/", _key(), F.col("e.file")), F.col("e.doc"), "bench")
     return evidence.benchmark_tree(spark, root)
 
 
